@@ -1,4 +1,4 @@
-from tallybook.contract import account_cases, activity_cases, payment_cases
+from tallybook.contract import account_cases, activity_cases, payment_cases, stream_cases, write_cases
 from tallybook.contract.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -26,6 +26,14 @@ MONEY = "decimal(22,2)"
 ACCEPTED, ALREADY_PAID, EXCEEDS = "accepted", "already_paid", "exceeds_balance"
 
 
+def open_accounts(led: Ledger) -> DataFrame:
+    """(student_id, open): price minus payments so far; ``open`` is NULL without a price."""
+    return with_course(with_paid(led.students, led.payments), led.courses).select(
+        F.col("id").alias("student_id"),
+        (F.col("course_price") - F.col("total_paid")).cast(MONEY).alias("open"),
+    )
+
+
 def admit_payments(
     incoming: DataFrame,
     led: Ledger,
@@ -39,10 +47,18 @@ def admit_payments(
     known, course price known, not yet paid in full, fits the balance.  Inactive
     students may pay.
     """
-    due = with_course(with_paid(led.students, led.payments), led.courses).select(
-        F.col("id").alias("_sid"),
-        (F.col("course_price") - F.col("total_paid")).cast(MONEY).alias("_open"),
-    )
+    return admit_against(incoming, open_accounts(led), order, fold_rows, blocks)
+
+
+def admit_against(
+    incoming: DataFrame,
+    accounts: DataFrame,
+    order: tuple[str, ...] = ("created_at", "id"),
+    fold_rows: int = FOLD_ROWS,
+    blocks: int | None = None,
+) -> DataFrame:
+    """:func:`admit_payments` against given open balances."""
+    due = accounts.select(F.col("student_id").alias("_sid"), F.col("open").alias("_open"))
     amount = F.col("amount_paid").try_cast("decimal(12,2)")
     rows = incoming.withColumn("_amount", amount).join(
         due, F.col("student_id") == F.col("_sid"), "left"

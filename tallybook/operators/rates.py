@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -144,7 +145,7 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
         [T.StructField("_key", kind), T.StructField("node", T.LongType()), T.StructField("last", T.LongType())]
     )
 
-    def of_block(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_block(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         entry, leave = block_function(_micros(pdf["_ts"]), gap)
         return pd.DataFrame({"_key": [group[0]], "node": [group[1]], "entry": [entry], "leave": [leave]})
 
@@ -153,12 +154,12 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
         pairs = [(np.asarray(e, "int64"), np.asarray(x, "int64")) for e, x in zip(pdf["entry"], pdf["leave"])]
         return pdf["node"].tolist(), pairs
 
-    def compose(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def compose(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         _, pairs = read(pdf)
         entry, leave = compose_blocks(pairs, gap)
         return pd.DataFrame({"_key": [group[0]], "node": [group[1]], "entry": [entry], "leave": [leave]})
 
-    def walk(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, pairs = read(pdf)
         start = pdf["last"].iloc[0]
         last = None if pd.isna(start) else int(start)
@@ -171,7 +172,7 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
                 last = int(after_blocks(np.array([last]), [(entry, leave)], gap)[0])
         return pd.DataFrame({"_key": group[0], "node": nodes, "last": pd.array(before, dtype="Int64")})
 
-    def decide(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, ignore_index=True)
         start = pdf["_last"].iloc[0]
         pdf["allowed"] = allowed_in_block(_micros(pdf[ts]), None if pd.isna(start) else int(start), gap)

@@ -16,8 +16,17 @@ from pyspark.sql import types as T
 from tallybook.plans.durable import fresh_path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None):
+    """A folder of files as a stream; a single file is read through its folder."""
     reader = spark.readStream.schema(schema)
+    fs, at = _hadoop(spark, path)
+    if fs.getFileStatus(at).isFile():
+        reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
@@ -71,10 +80,8 @@ class BatchTable:
         typed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, before: int | None = None, from_: int | None = None) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        if not there:
+        fs, folder = _hadoop(self.spark, self.path)
+        if not fs.exists(folder):
             return self.spark.createDataFrame([], self.schema)
         with_batch = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         rows = self.spark.read.schema(with_batch).parquet(self.path)

@@ -2,11 +2,11 @@
 
 customer -> courses, orders -> students, supplier -> users, lineitem ->
 payments, events -> logs.  The same expressions run in Spark and, as CTEs, in
-the oracle engine; only turning hexadecimal digits into a number differs.
+the oracle engine.
 
-A payment id is 60 bits of a hash over the row.  Numbering the lines of an
-order would need a window over all of it, which a stream cannot have and which
-puts a very large order into one task.
+A payment id is a pair of 31-bit linear hashes of the line.  Numbering the lines
+of an order would need a window over all of it, which a stream cannot have and
+which puts a very large order into one task.
 """
 
 from __future__ import annotations
@@ -15,14 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tallybook.ledger import Ledger
-from tallybook.sources.schemas import conform
-
-_LINE = (
-    "md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, "
-    "cast(l_extendedprice as decimal(12,2)), cast(l_shipdate as date), l_returnflag, l_linestatus))"
+from tallybook.sources.schemas import SCHEMAS
+
+PRIME = 2**31 - 1
+LINE_FIELDS = (
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "floor(l_extendedprice)",
+    "year(l_shipdate) * 372 + month(l_shipdate) * 31 + day(l_shipdate)",
+)
+FACTORS = (
+    (1532676821, 1180433513, 2009876411, 1390287417, 1724653933, 1289754661),
+    (1876345027, 1412987633, 1109345219, 2045673913, 1567893247, 1943218579),
 )
-_HEX_SPARK = f"cast(conv(substr({_LINE}, 1, 15), 16, 10) as bigint)"
-_HEX_ORACLE = f"cast(concat('0x', substr({_LINE}, 1, 15)) as bigint)"
+
+
+def _linear(factors: tuple[int, ...]) -> str:
+    terms = [f"cast({f} as bigint) % {PRIME} * {k} % {PRIME}" for f, k in zip(LINE_FIELDS, factors)]
+    return f"({' + '.join(terms)}) % {PRIME}"
+
+
+LINE_ID = f"{_linear(FACTORS[0])} * {2**31} + {_linear(FACTORS[1])}"
 
 SOURCES = {
     "courses": "customer",
@@ -62,7 +77,7 @@ COLUMNS: dict[str, dict[str, str]] = {
         "created_at": "cast(date '2020-01-01' + cast(s_suppkey % 3650 as int) as timestamp)",
     },
     "payments": {
-        "id": "{line_id}",
+        "id": LINE_ID,
         "student_id": "l_orderkey",
         "amount_paid": "cast(l_extendedprice as decimal(12,2))",
         "payment_method": "case l_returnflag when 'A' then 'cash' when 'N' then 'gcash' else 'bank_transfer' end",
@@ -102,20 +117,27 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_ledger_table(raw: DataFrame, table: str) -> DataFrame:
-    exprs = [f"{e.format(line_id=_HEX_SPARK)} as {name}" for name, e in COLUMNS[table].items()]
-    return conform(raw.selectExpr(*exprs), table)
+    """Declared columns and types; columns the source lacks are NULL."""
+    given = COLUMNS[table]
+    return raw.selectExpr(
+        *[
+            f"cast({given.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}"
+            for f in SCHEMAS[table].fields
+        ]
+    )
 
 
 def fixture_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    return Ledger(
-        **{t: as_ledger_table(driver_table(spark, sf_dir, src), t) for t, src in SOURCES.items()}
-    )
+    def table(name: str):
+        return lambda: as_ledger_table(driver_table(spark, sf_dir, SOURCES[name]), name)
+
+    return Ledger(**{name: table(name) for name in SOURCES})
 
 
 def oracle_ctes() -> str:
     """The five tables as a ``with`` list for the oracle engine."""
     parts = []
     for table, columns in COLUMNS.items():
-        exprs = ", ".join(f"{e.format(line_id=_HEX_ORACLE)} as {name}" for name, e in columns.items())
+        exprs = ", ".join(f"{e} as {name}" for name, e in columns.items())
         parts.append(f"{table} as (select {exprs} from {SOURCES[table]})")
     return ",\n".join(parts)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallybook.ledger import Ledger
 from tallybook.plans.durable import durable
 from tallybook.plans.ordered import BLOCK, POS, Running, range_blocks, scan_blocks, split_hot
+from tallybook.plans.skew import one_per_key
 from tallybook.plans.totals import with_course, with_paid
 
 FOLD_ROWS = 10_000
@@ -58,7 +59,7 @@ def admit_against(
     blocks: int | None = None,
 ) -> DataFrame:
     """:func:`admit_payments` against given open balances."""
-    due = accounts.select(F.col("student_id").alias("_sid"), F.col("open").alias("_open"))
+    due = one_per_key(accounts.select(F.col("student_id").alias("_sid"), F.col("open").alias("_open")), "_sid")
     amount = F.col("amount_paid").try_cast("decimal(12,2)")
     rows = incoming.withColumn("_amount", amount).join(
         due, F.col("student_id") == F.col("_sid"), "left"
@@ -76,12 +77,12 @@ def admit_against(
     )
     rows = rows.withColumn("verdict", verdict).drop("_sid")
     settled = rows.where("verdict is not null").select(*incoming.columns, "verdict")
-    cold, hot, n = split_hot(rows.where("verdict is null").drop("verdict"), ["student_id"], fold_rows)
-    out = settled.unionByName(_admit_cold(cold, incoming.columns, order))
-    if hot is not None:
+    split = split_hot(rows.where("verdict is null").drop("verdict"), ["student_id"], fold_rows, incoming)
+    out = settled.unionByName(_admit_cold(split.cold, incoming.columns, order))
+    if split.hot is not None:
         by = [F.col(c).asc() for c in (*order, "_amount")]
-        cut = range_blocks(hot, ["student_id"], by, blocks or n)
-        out = out.unionByName(_admit_hot(cut, incoming.columns))
+        cut = range_blocks(split.hot, ["student_id"], by, blocks or split.blocks)
+        out = out.unionByName(_admit_hot(cut, incoming.columns, split.few_keys))
     return out
 
 
@@ -107,7 +108,7 @@ def _admit_cold(rows: DataFrame, columns: list[str], order: tuple[str, ...]) ->
     return folded.select(one).select("x.rows.row.*", F.col("x.codes").alias("verdict"))
 
 
-def _admit_hot(cut: DataFrame, columns: list[str]) -> DataFrame:
+def _admit_hot(cut: DataFrame, columns: list[str], few_students: bool) -> DataFrame:
     """Exact verdicts for students whose payments fill many blocks.
 
     While more than half of the balance b is open, every payment up to b/2 fits,
@@ -117,6 +118,11 @@ def _admit_hot(cut: DataFrame, columns: list[str]) -> DataFrame:
     fit any more and drop out.  So the rounds are at most log2(price in cents),
     each is one block scan, and the later ones see ever fewer rows.
     """
+
+    def side(per_student: DataFrame) -> DataFrame:
+        """One row per hot student: broadcast if there are few, else open to splitting."""
+        return F.broadcast(per_student) if few_students else one_per_key(per_student, "student_id")
+
     live = cut.select("student_id", BLOCK, POS, "_amount", "_open")
     state = durable(
         live.groupBy("student_id").agg(F.max("_open").alias("b"), F.lit(-1).cast("long").alias("after"))
@@ -125,7 +131,7 @@ def _admit_hot(cut: DataFrame, columns: list[str]) -> DataFrame:
     while not state.isEmpty():
         live = durable(
             live.select("student_id", BLOCK, POS, "_amount")
-            .join(state, "student_id", "inner")
+            .join(side(state), "student_id", "inner")
             .where((F.col(POS) > F.col("after")) & (F.col("_amount") <= F.col("b")))
         )
         rounds.append(durable(_halve(live, state)))
@@ -154,7 +160,7 @@ def _admit_hot(cut: DataFrame, columns: list[str]) -> DataFrame:
         .when(F.coalesce(pos > paid_off, F.lit(False)), ALREADY_PAID)
         .otherwise(EXCEEDS)
     )
-    return cut.join(history, "student_id", "inner").select(*columns, verdict.alias("verdict"))
+    return cut.join(side(history), "student_id", "inner").select(*columns, verdict.alias("verdict"))
 
 
 def _small(amount: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.status import status_expr
 from tallybook.ledger import Ledger
 from tallybook.operators.accounts import filter_course
+from tallybook.operators.dashboard import side_by_side
 from tallybook.plans.ordered import HOT_ROWS, Running, running_values
 from tallybook.plans.totals import zero, paid_by_student, with_course, with_paid
 
@@ -63,7 +64,7 @@ def course_stats(led: Ledger) -> DataFrame:
     revenue = paid.join(students, paid["student_id"] == students["id"], "left_semi").agg(
         F.coalesce(F.sum("total_paid"), zero()).alias("total_revenue")
     )
-    return enrolled.crossJoin(revenue)  # one row each
+    return side_by_side(enrolled, revenue)
 
 
 def course_rosters(led: Ledger, course_id: int | None = None) -> DataFrame:
@@ -99,8 +100,9 @@ def course_roster_documents(
     """
     order = [F.col(c).asc() for c in ROSTER_ORDER]
     rows = running_values(
-        course_rosters(led, course_id), ["course_id"], order, [Running("position", "count")], hot_rows, blocks
-    )
+        course_rosters(led, course_id), ["course_id"], order, [Running("position", "count")], hot_rows, blocks,
+        counted=filter_course(led.students, course_id),
+    )
     part = F.floor((F.col("position") - 1) / F.lit(chunk)).cast("long")
     student = F.struct(
         "position", "id", "student_id", "first_name", "last_name", "email", "course_price",

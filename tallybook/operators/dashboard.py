@@ -17,9 +17,10 @@ from tallybook.plans.totals import zero, with_course, with_paid
 STATUSES = ("fully_paid", "partially_paid", "unpaid")
 
 
-def _side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Ungrouped aggregates have exactly one row each, so this never multiplies."""
-    return reduce(lambda a, b: a.crossJoin(b), one_row)
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """One-row figures as the columns of one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def _active(df: DataFrame, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def _active(df: DataFrame, name: str) -> DataFrame:
 
 def admin_kpis(led: Ledger) -> DataFrame:
     staff = F.col("is_active") & (F.col("role") == "cashier")
-    return _side_by_side(
+    return side_by_side(
         _active(led.students, "total_students"),
         _active(led.courses, "total_courses"),
         led.payments.agg(F.coalesce(F.sum("amount_paid"), zero()).alias("total_payments")),
@@ -38,7 +39,7 @@ def admin_kpis(led: Ledger) -> DataFrame:
 
 def system_stats(led: Ledger, as_of: str | date | datetime) -> DataFrame:
     since = F.col("payment_date") >= date_lit(day(as_of) - timedelta(days=30))
-    return _side_by_side(
+    return side_by_side(
         _active(led.students, "total_students"),
         _active(led.courses, "total_courses"),
         _active(led.users, "total_users"),

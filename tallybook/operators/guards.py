@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.ledger import Ledger
+from tallybook.plans.skew import one_per_key
 
 
 def guard_course_changes(requests: DataFrame, led: Ledger) -> DataFrame:
@@ -22,7 +23,7 @@ def guard_course_changes(requests: DataFrame, led: Ledger) -> DataFrame:
     )
     known = led.courses.select(F.col("id").alias("_known"))
     rows = requests.join(known, F.col("course_id") == F.col("_known"), "left")
-    rows = rows.join(counts, F.col("course_id") == F.col("_cid"), "left")
+    rows = rows.join(one_per_key(counts, "_cid"), F.col("course_id") == F.col("_cid"), "left")
     zero = F.lit(0)
     active, everyone = F.coalesce("_active", zero), F.coalesce("_all", zero)
     action = F.col("action")
@@ -48,7 +49,7 @@ def guard_cashier_changes(requests: DataFrame, led: Ledger) -> DataFrame:
     taken = led.payments.groupBy(F.col("collected_by").alias("_by")).agg(F.count("*").alias("_n"))
     u = led.users.select(F.col("id").alias("_uid"), F.col("role").alias("_role"))
     rows = requests.join(u, F.col("user_id") == F.col("_uid"), "left")
-    rows = rows.join(taken, F.col("user_id") == F.col("_by"), "left")
+    rows = rows.join(one_per_key(taken, "_by"), F.col("user_id") == F.col("_by"), "left")
     action, n = F.col("action"), F.coalesce("_n", F.lit(0))
     reason = (
         F.when(F.col("_uid").isNull(), "not_found")
@@ -76,7 +77,7 @@ def cascade_deletes(keys: DataFrame, led: Ledger, table: str, policy: str | None
     payment or log entry become NULL.  ``policy`` (cascade or set_null)
     overrides the action for every child.
     """
-    gone = keys.select(F.col("id").alias("_gone")).distinct()
+    gone = one_per_key(keys.select(F.col("id").alias("_gone")).distinct(), "_gone")
     tables = led.tables()
     out = {table: tables[table].join(gone, F.col("id") == F.col("_gone"), "left_anti")}
     for child, column, action in FOREIGN_KEYS[table].values():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.asof import moment, ts_lit
 from tallybook.plans.ordered import HOT_ROWS, Running, running_values
+from tallybook.plans.skew import one_per_key
 
 STATE_ACTIONS = ("activate", "deactivate", "toggle")
 
@@ -31,7 +32,7 @@ def upsert_master(
     action, seq = F.col("action"), F.col("seq")
     sets = action.isin("insert", "activate", "deactivate")
     last_set = changes.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(sets, seq)).alias("_set"))
-    rows = changes.join(last_set, F.col(key) == F.col("_key"), "inner")
+    rows = changes.join(one_per_key(last_set, "_key"), F.col(key) == F.col("_key"), "inner")
     writes = action.isin("insert", "update")
 
     def last_value(c: str) -> Column:
@@ -99,7 +100,7 @@ def allocate_student_ids(
         F.max(F.split_part("student_id", F.lit("-"), F.lit(3)).cast("long")).alias("_top")
     )
     rows = running_values(new, [year], [F.col(order).asc()], [Running("_nth", "count")], hot_rows, blocks)
-    rows = rows.join(top, F.col(year) == F.col("_year"), "left")
+    rows = rows.join(one_per_key(top, "_year"), F.col(year) == F.col("_year"), "left")
     number = (F.coalesce("_top", F.lit(0)) + F.col("_nth")).cast("string")
     padded = F.lpad(number, F.greatest(F.lit(5), F.length(number)), F.lit("0"))
     return rows.select(

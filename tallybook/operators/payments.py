@@ -15,6 +15,7 @@ from tallybook.ledger import Ledger
 from tallybook.operators.paging import newest_first
 from tallybook.plans.newest import newest_after_join
 from tallybook.plans.ordered import HOT_ROWS, Running, running_values
+from tallybook.plans.skew import one_per_key
 from tallybook.plans.totals import zero, paid_by_student, with_course
 
 
@@ -147,6 +148,7 @@ def payment_history(led: Ledger) -> DataFrame:
     totals = paid_by_student(led.payments, _last_paid())
     who = with_course(_payer(led.students), led.courses)
     who = who.join(totals, who["_sid"] == totals["student_id"], "inner").drop("student_id")
+    who = one_per_key(who, "_sid")
     p = led.payments.withColumnRenamed("student_id", "payer_id")
     rows = p.join(who, p["payer_id"] == who["_sid"], "inner").withColumn(
         "status",
@@ -217,6 +219,7 @@ def latest_payment(payments: DataFrame, ties: str = "one") -> DataFrame:
         return best.select("student_id", "last.*").select(*payments.columns)
     if ties == "all":
         last = payments.groupBy(F.col("student_id").alias("_sid")).agg(F.max("created_at").alias("_at"))
+        last = one_per_key(last, "_sid", "_at")
         same = (payments["student_id"] == last["_sid"]) & (payments["created_at"] == last["_at"])
         return payments.join(last, same, "left_semi")
     raise ValueError(f"unknown ties {ties!r}")
@@ -243,15 +246,17 @@ def student_statements(
         listed,
         ["student_id"],
         order,
-        [Running("paid_to_date", "sum", F.col("amount_paid")), Running("nth", "count")],
+        [
+            Running("paid_to_date", "sum", F.col("amount_paid")),
+            Running("nth", "count"),
+            Running("total_paid", "sum", F.col("amount_paid"), whole=True),
+            Running("n_payments", "count", whole=True),
+        ],
         hot_rows,
         blocks,
+        counted=payments,
     )
-    totals = listed.groupBy(F.col("student_id").alias("_tid")).agg(
-        F.sum("amount_paid").alias("total_paid"), F.count("*").alias("n_payments")
-    )
-    who = with_course(_payer(students), led.courses, "inner")
-    who = who.join(totals, who["_sid"] == totals["_tid"], "inner")
+    who = one_per_key(with_course(_payer(students), led.courses, "inner"), "_sid")
     rows = scanned.join(who, scanned["student_id"] == who["_sid"], "inner")
     price = F.col("course_price")
     return rows.select(

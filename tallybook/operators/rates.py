@@ -35,12 +35,12 @@ def throttle(
     clock, so the gap to the previous event does not decide.  Events at the same
     instant go by ``id``.
     """
-    cold, hot, n = split_hot(events, [key], fold_rows)
-    out = _throttle_cold(cold, key, ts, id, min_gap)
-    if hot is None:
+    split = split_hot(events, [key], fold_rows)
+    out = _throttle_cold(split.cold, key, ts, id, min_gap)
+    if split.hot is None:
         return out
-    n = blocks or n
-    cut = range_blocks(hot, [key], [F.col(ts).asc(), F.col(id).asc()], n)
+    n = blocks or split.blocks
+    cut = range_blocks(split.hot, [key], [F.col(ts).asc(), F.col(id).asc()], n)
     return out.unionByName(_throttle_hot(cut, key, ts, min_gap, n, fan_in, events.columns))
 
 

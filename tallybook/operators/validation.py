@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.text import EMAIL_PATTERN
 from tallybook.ledger import Ledger
 from tallybook.plans.durable import durable
+from tallybook.plans.skew import one_per_key
 
 STUDENT_INSERT = (
     "student_id", "first_name", "last_name", "email", "phone", "address", "course_id", "enrollment_date",
@@ -50,7 +51,8 @@ def first_come(rows: DataFrame, seq: str, keys: Sequence[str]) -> DataFrame:
 
 def _known(df: DataFrame, value: Column, key: str, mark: str) -> DataFrame:
     """One row per existing key."""
-    return df.where(value.isNotNull()).groupBy(value.alias(key)).agg(F.lit(True).alias(mark))
+    known = df.where(value.isNotNull()).groupBy(value.alias(key)).agg(F.lit(True).alias(mark))
+    return one_per_key(known, key)
 
 
 def _taken_earlier(df: DataFrame, won: DataFrame, key: str, mark: str) -> DataFrame:
@@ -117,14 +119,14 @@ def _mail_checks(incoming: DataFrame, current: DataFrame) -> DataFrame:
         .groupBy(F.lower("email").alias("_mail"))
         .agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
     )
-    rows = rows.join(holder, "_mail", "left")
+    rows = rows.join(one_per_key(holder, "_mail"), "_mail", "left")
     other = (F.col("_low") != F.col("id")) | (F.col("_high") != F.col("id"))
     return rows.withColumn("_has_mail", F.coalesce(other, F.lit(False))).drop("_low", "_high")
 
 
 def _mail_race(checked: DataFrame, faults: Column) -> DataFrame:
     claims = checked.where(~faults).groupBy("_mail").agg(F.min(F.struct("seq", "id")).alias("_claim"))
-    rows = checked.join(claims, "_mail", "left")
+    rows = checked.join(one_per_key(claims, "_mail"), "_mail", "left")
     lost = (F.col("_claim.seq") < F.col("seq")) & (F.col("_claim.id") != F.col("id"))
     return rows.withColumn("_mail_gone", F.coalesce(lost, F.lit(False))).drop("_claim")
 

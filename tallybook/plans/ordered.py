@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.plans.durable import durable
+from tallybook.plans.skew import one_per_key
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
@@ -28,11 +29,15 @@ POS = "_pos"
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: ``how`` is ``sum``, ``max`` or ``count`` of ``value``."""
+    """A running value: ``how`` is ``sum``, ``max`` or ``count`` of ``value``.
+
+    With ``whole`` every row gets the value over all rows of its key.
+    """
 
     name: str
     how: str
     value: Column | None = None
+    whole: bool = False
 
     def aggregate(self, column: str) -> Column:
         return {"sum": F.sum, "count": F.count, "max": F.max}[self.how](F.col(column))
@@ -76,14 +81,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Ho
     return HotKeys(found.select(*keys), size[0], size[1] or 0)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS):
-    """(ordinary rows, hot rows or None, number of blocks for the hot rows)."""
-    hot = hot_keys(df, keys, hot_rows)
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary keys; rows of hot keys (None if there are none) and their blocks."""
+
+    cold: DataFrame
+    hot: DataFrame | None = None
+    blocks: int = 0
+    few_keys: bool = True
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, counted: DataFrame | None = None
+) -> Split:
+    """Rows are counted in ``counted`` if given: a cheaper table with at least the rows of ``df``."""
+    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
     if hot.count == 0:
-        return df, None, 0
+        return Split(df)
     h = hot.side().select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    return df.join(h, same, "left_anti"), df.join(h, same, "left_semi"), hot.blocks()
+    return Split(
+        df.join(h, same, "left_anti"),
+        df.join(h, same, "left_semi"),
+        hot.blocks(),
+        hot.count <= BROADCAST_ROWS,
+    )
 
 
 def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], blocks: int) -> DataFrame:
@@ -99,14 +121,21 @@ def range_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bl
     return durable(cut.withColumn(BLOCK, F.shiftright(POS, 33)))
 
 
-def scan_blocks(cut: DataFrame, keys: Sequence[str], running: Sequence[Running]) -> DataFrame:
+def scan_blocks(
+    cut: DataFrame, keys: Sequence[str], running: Sequence[Running], few_keys: bool = False
+) -> DataFrame:
     """Running values over rows that carry ``_block`` and ``_pos``.
 
     Inputs are the columns ``_in_<name>``; they are dropped from the result.
     """
     here = Window.partitionBy(*keys, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     plain = [c for c in cut.columns if not c.startswith("_in_")]
-    scanned = cut.select(*plain, *[r.aggregate(f"_in_{r.name}").over(here).alias(r.name) for r in running])
+    whole, running = [r for r in running if r.whole], [r for r in running if not r.whole]
+    scanned = cut.select(
+        *plain,
+        *[f"_in_{r.name}" for r in whole],
+        *[r.aggregate(f"_in_{r.name}").over(here).alias(r.name) for r in running],
+    )
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         cut.groupBy(*keys, BLOCK)
@@ -119,10 +148,18 @@ def scan_blocks(cut: DataFrame, keys: Sequence[str], running: Sequence[Running])
         .where("_earlier > 0")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in [*keys, BLOCK]]
-    out = scanned.join(F.broadcast(carry), same, "left")
-    return out.select(
+    out = scanned.join(F.broadcast(carry), same, "left").select(
         *plain, *[r.joined(F.col(r.name), F.col(f"_before_{r.name}")).alias(r.name) for r in running]
     )
+    if not whole:
+        return out
+    per_key = cut.groupBy(*[F.col(k).alias(f"_all_{k}") for k in keys]).agg(
+        *[r.aggregate(f"_in_{r.name}").alias(r.name) for r in whole]
+    )
+    names = [f"_all_{k}" for k in keys]
+    per_key = F.broadcast(per_key) if few_keys else one_per_key(per_key, *names)
+    match = [F.col(k).eqNullSafe(F.col(f"_all_{k}")) for k in keys]
+    return out.join(per_key, match, "inner").drop(*names)
 
 
 def feed(df: DataFrame, running: Sequence[Running]) -> DataFrame:
@@ -139,12 +176,18 @@ def running_values(
     running: Sequence[Running],
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values per key in the given total order (current row included)."""
-    cold, hot, n = split_hot(feed(df, running), keys, hot_rows)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cold.select(*df.columns, *[r.aggregate(f"_in_{r.name}").over(w).alias(r.name) for r in running])
-    if hot is None:
+    split = split_hot(feed(df, running), keys, hot_rows, counted)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    to_end = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = split.cold.select(
+        *df.columns,
+        *[r.aggregate(f"_in_{r.name}").over(to_end if r.whole else to_here).alias(r.name) for r in running],
+    )
+    if split.hot is None:
         return out
-    scanned = scan_blocks(range_blocks(hot, keys, order, blocks or n), keys, running)
-    return out.unionByName(scanned.drop(BLOCK, POS))
+    cut = range_blocks(split.hot, keys, order, blocks or split.blocks)
+    return out.unionByName(scan_blocks(cut, keys, running, split.few_keys).drop(BLOCK, POS))

@@ -20,6 +20,7 @@ from tallybook.ledger import Ledger
 from tallybook.operators.admission import ACCEPTED, admit_against, open_accounts
 from tallybook.operators.rates import match_within_validity, throttle
 from tallybook.plans.durable import durable, fresh_path
+from tallybook.plans.skew import one_per_key
 from tallybook.streaming.tables import BatchTable, RunningSums, drain
 
 MONEY = T.DecimalType(22, 2)
@@ -79,7 +80,7 @@ def throttle_stream(
             return
         earlier = decided.read(before=number).where(F.col("allowed") & (F.col(ts) > F.lit(first - min_gap)))
         clock = earlier.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_last"))
-        timed = rows.join(clock, F.col(key) == F.col("_k"), "left")
+        timed = rows.join(one_per_key(clock, "_k"), F.col(key) == F.col("_k"), "left")
         soon = F.coalesce(F.col(ts) < F.col("_last") + F.lit(min_gap), F.lit(False))
         refused = timed.where(soon).select(*rows.columns, F.lit(False).alias("allowed"))
         rest = timed.where(~soon).select(*rows.columns)

@@ -31,7 +31,7 @@ def test_running_values(spark, hot_rows, blocks):
         df,
         ["k"],
         [F.col("t").asc(), F.col("id").asc()],
-        [Running("n", "count"), Running("s", "sum", F.col("v")), Running("m", "max", F.struct("v", "id"))],
+        [Running("n", "count"), Running("s", "sum", F.col("v")), Running("m", "max", F.struct("v", "id")), Running("all", "sum", F.col("v"), whole=True)],
         hot_rows,
         blocks,
     ).collect()
@@ -48,6 +48,7 @@ def test_running_values(spark, hot_rows, blocks):
     assert len(got) == len(rows)
     for r in got:
         m = (-1 if r.m.v is None else r.m.v, r.m.id)
+        assert r.all == (seen[r.k][1])
         assert (r.n, r.s if r.s is not None else None, m) == want[r.id]
 
 

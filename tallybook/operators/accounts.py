@@ -91,9 +91,8 @@ def student_account_page(
         )
         return paginate(kept, newest_first(), page, per_page)
     shown = durable(paginate(students, newest_first(), page, per_page))
-    theirs = led.payments.join(
-        F.broadcast(shown.select("id")), led.payments["student_id"] == shown["id"], "left_semi"
-    )
+    want = F.broadcast(shown.select(F.col("id").alias("_want")))
+    theirs = led.payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
     rows = student_accounts(led.with_tables(students=shown, payments=theirs))
     return rows.orderBy(*newest_first())
 
@@ -200,15 +199,18 @@ def ledger_summary(led: Ledger) -> DataFrame:
     return rows.agg(*counts, F.count("*").alias("total_students"))
 
 
-def account_balances(led: Ledger, ids: DataFrame | None = None) -> DataFrame:
+def account_balances(led: Ledger, ids: DataFrame | None = None, few: bool = False) -> DataFrame:
     """Due, paid and signed balance; NULL balance where there is no price.
 
-    ``ids`` (one column ``id``) limits the students before the payments are summed.
+    ``ids`` (one column ``id``) limits the students before the payments are
+    summed; ``few`` says that they are a handful and can be broadcast.
     """
     students, payments = led.students, led.payments
     if ids is not None:
-        students = students.join(ids, "id", "left_semi")
-        payments = payments.join(ids.withColumnRenamed("id", "student_id"), "student_id", "left_semi")
+        want = ids.select(F.col("id").alias("_want"))
+        want = F.broadcast(want) if few else want
+        students = students.join(want, F.col("id") == F.col("_want"), "left_semi")
+        payments = payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
     return with_course(with_paid(students, payments), led.courses).select(
         "id",
         F.col("student_id").alias("sid"),
@@ -222,8 +224,7 @@ def account_balances(led: Ledger, ids: DataFrame | None = None) -> DataFrame:
 
 
 def _balances_of_few(led: Ledger, students: DataFrame) -> DataFrame:
-    few = durable(students.select("id"))
-    return account_balances(led, F.broadcast(few))
+    return account_balances(led, durable(students.select("id")), few=True)
 
 
 def recent_students(led: Ledger, n: int = 5) -> DataFrame:

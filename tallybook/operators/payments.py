@@ -166,8 +166,8 @@ def _enrich_few(led: Ledger, courses: str):
     """Looks up students, courses and totals of a few payments only."""
 
     def enrich(few: DataFrame) -> DataFrame:
-        keys = few.select("student_id").distinct()  # keeps the hint of a cut table, if it has one
-        theirs = led.payments.join(keys, "student_id", "left_semi")
+        want = few.select(F.col("student_id").alias("_want")).distinct()  # keeps a hint on ``few``
+        theirs = led.payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
         lines = payment_lines(led.with_tables(payments=few), courses)
         return _with_last_status(lines, paid_by_student(theirs, _last_paid()))
 
@@ -237,8 +237,9 @@ def student_statements(
     """
     students, payments = led.students, led.payments
     if ids is not None:
-        students = students.join(ids, "id", "left_semi")
-        payments = payments.join(ids.withColumnRenamed("id", "student_id"), "student_id", "left_semi")
+        want = ids.select(F.col("id").alias("_want"))
+        students = students.join(want, F.col("id") == F.col("_want"), "left_semi")
+        payments = payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
     by = led.users.select(F.col("id").alias("_uid"), F.col("name").alias("collected_by_name"))
     listed = payments.join(by, payments["collected_by"] == by["_uid"], "inner").drop("_uid")
     order = [F.col("payment_date").asc(), F.col("created_at").asc(), F.col("id").asc()]

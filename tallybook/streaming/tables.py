@@ -108,11 +108,14 @@ class RunningSums:
     def add(self, sums: DataFrame, batch: int) -> None:
         self.parts.write(sums, batch)
         if batch % self.compact == self.compact - 1:
-            self.full.write(self.before(batch + 1), batch)
+            self.full.write(self._sums(batch + 1, batch + 1 - self.compact, None), batch)
 
     def before(self, batch: int, only: DataFrame | None = None) -> DataFrame:
         """Sums over the batches below ``batch``, for the keys in ``only`` if given."""
-        since = batch // self.compact * self.compact
+        return self._sums(batch, batch // self.compact * self.compact, only)
+
+    def _sums(self, batch: int, since: int, only: DataFrame | None) -> DataFrame:
+        """The full sums stored just before ``since`` and the differences from there on."""
         rows = self.parts.read(before=batch, from_=since)
         if since:
             rows = rows.unionByName(self.full.read(before=since, from_=since - 1))

@@ -135,7 +135,7 @@ def _admit_hot(cut: DataFrame, columns: list[str], few_students: bool) -> DataFr
             .where((F.col(POS) > F.col("after")) & (F.col("_amount") <= F.col("b")))
         )
         rounds.append(durable(_halve(live, state)))
-        state = durable(
+        state = (
             rounds[-1]
             .where("stop is not null and left_open > 0")
             .select("student_id", F.col("left_open").alias("b"), F.col("stop").alias("after"))

@@ -1,8 +1,7 @@
 """Pages over a total order.
 
-``paginate`` is the 1-based offset page of the list views: a top-k of
-``page * per_page`` rows per task.  ``paginate_keyset`` starts after the last
-row seen, so page 1,000,000 costs the same as page 1.
+``paginate`` is the 1-based offset page of the list views.  ``paginate_keyset``
+starts after the last row seen, so page 1,000,000 costs the same as page 1.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.plans.slices import slice_rows
+
 
 def newest_first() -> list[Column]:
     """The order of most lists; the id breaks ties."""
@@ -22,7 +23,7 @@ def newest_first() -> list[Column]:
 
 
 def paginate(df: DataFrame, order: Sequence[Column], page: int, per_page: int) -> DataFrame:
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    return slice_rows(df, order, (page - 1) * per_page, per_page)
 
 
 def page_meta(df: DataFrame, page: int, per_page: int, min_pages: int = 1) -> DataFrame:

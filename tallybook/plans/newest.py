@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.plans.durable import durable
+from tallybook.plans.slices import DEEP_ROWS, slice_rows
 
 SLACK_ROWS = 100
 
@@ -31,6 +32,8 @@ def newest_after_join(
     multiply rows.
     """
     need = skip + n
+    if need > DEEP_ROWS:
+        return slice_rows(enrich(facts), order, skip, n)
     cut = need + SLACK_ROWS
     head = durable(facts.orderBy(*order).limit(cut))
     found = durable(enrich(F.broadcast(head)))

@@ -19,6 +19,7 @@ from tallybook.operators.guards import cascade_deletes
 from tallybook.operators.master import allocate_student_ids, upsert_master
 from tallybook.operators.paging import page_meta, paginate, paginate_keyset
 from tallybook.operators.revenue import monthly_revenue
+from tallybook.plans.slices import slice_rows
 from tallybook.operators.validation import check_new_students, split_judged
 from tallybook.sources.ledger_io import append_activity, read_ledger, write_ledger, write_report
 from tallybook.sources.schemas import SCHEMAS, conform
@@ -245,6 +246,9 @@ def test_pages(led):
     columns = [F.col("created_at").desc(), F.col("id").desc()]
     full = [r.id for r in led.payments.orderBy(*columns).collect()]
     assert [r.id for p in (1, 2, 3) for r in paginate(led.payments, columns, p, 4).collect()] == full
+    for skip, n in ((0, 4), (3, 5), (8, 4), (10, 9), (11, 3)):
+        deep = slice_rows(led.payments, columns, skip, n, deep_rows=0, blocks=3)
+        assert [r.id for r in deep.collect()] == full[skip : skip + n]
     seen, after = [], None
     while rows := paginate_keyset(led.payments.select("id", F.col("payment_date").alias("created_at")), order, 3, after).collect():
         seen += [r.id for r in rows]

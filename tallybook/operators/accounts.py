@@ -13,6 +13,7 @@ from tallybook.functions.text import full_name, search_any
 from tallybook.ledger import Ledger
 from tallybook.operators.paging import newest_first, page_meta, paginate
 from tallybook.plans.durable import durable
+from tallybook.plans.newest import matching
 from tallybook.plans.totals import zero, accounts, with_course, with_paid
 
 PROFILE = (
@@ -91,9 +92,10 @@ def student_account_page(
         )
         return paginate(kept, newest_first(), page, per_page)
     shown = durable(paginate(students, newest_first(), page, per_page))
-    want = F.broadcast(shown.select(F.col("id").alias("_want")))
-    theirs = led.payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
-    rows = student_accounts(led.with_tables(students=shown, payments=theirs))
+    few = F.broadcast(shown)
+    theirs = matching(led.payments, "student_id", few, "id")
+    courses = matching(led.courses, "id", few, "course_id")
+    rows = student_accounts(led.with_tables(students=shown, payments=theirs, courses=courses))
     return rows.orderBy(*newest_first())
 
 
@@ -205,13 +207,15 @@ def account_balances(led: Ledger, ids: DataFrame | None = None, few: bool = Fals
     ``ids`` (one column ``id``) limits the students before the payments are
     summed; ``few`` says that they are a handful and can be broadcast.
     """
-    students, payments = led.students, led.payments
+    students, payments, courses = led.students, led.payments, led.courses
     if ids is not None:
         want = ids.select(F.col("id").alias("_want"))
         want = F.broadcast(want) if few else want
         students = students.join(want, F.col("id") == F.col("_want"), "left_semi")
         payments = payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
-    return with_course(with_paid(students, payments), led.courses).select(
+    if few:
+        courses = matching(courses, "id", F.broadcast(students), "course_id")
+    return with_course(with_paid(students, payments), courses).select(
         "id",
         F.col("student_id").alias("sid"),
         full_name().alias("name"),

@@ -13,7 +13,7 @@ from tallybook.functions.status import status_expr
 from tallybook.functions.text import full_name, method_label
 from tallybook.ledger import Ledger
 from tallybook.operators.paging import newest_first
-from tallybook.plans.newest import newest_after_join
+from tallybook.plans.newest import matching, newest_after_join
 from tallybook.plans.ordered import HOT_ROWS, Running, running_values
 from tallybook.plans.skew import one_per_key
 from tallybook.plans.totals import zero, paid_by_student, with_course
@@ -166,9 +166,9 @@ def _enrich_few(led: Ledger, courses: str):
     """Looks up students, courses and totals of a few payments only."""
 
     def enrich(few: DataFrame) -> DataFrame:
-        want = few.select(F.col("student_id").alias("_want")).distinct()  # keeps a hint on ``few``
-        theirs = led.payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
-        lines = payment_lines(led.with_tables(payments=few), courses)
+        theirs = matching(led.payments, "student_id", few, "student_id")
+        students = matching(led.students, "id", few, "student_id")
+        lines = payment_lines(led.with_tables(payments=few, students=students), courses)
         return _with_last_status(lines, paid_by_student(theirs, _last_paid()))
 
     return enrich
@@ -179,7 +179,8 @@ def payment_history_page(led: Ledger, page: int = 1, per_page: int = 25) -> Data
     rows = newest_after_join(
         led.payments, newest_first(), per_page, _enrich_few(led, "left"), skip=(page - 1) * per_page
     )
-    return _history_columns(rows, led.users).orderBy(*newest_first())
+    users = matching(led.users, "id", F.broadcast(rows), "collected_by")
+    return _history_columns(rows, users).orderBy(*newest_first())
 
 
 def recent_payments_with_status(led: Ledger, n: int = 5) -> DataFrame:
@@ -201,7 +202,7 @@ def recent_payments(led: Ledger, n: int = 5) -> DataFrame:
 
     def enrich(p: DataFrame) -> DataFrame:
         rows = p.join(who, p["student_id"] == who["_sid"], "inner")
-        return rows.join(by, F.col("collected_by") == by["_uid"], "inner")
+        return rows.join(matching(by, "_uid", p, "collected_by"), F.col("collected_by") == F.col("_uid"), "inner")
 
     return newest_after_join(led.payments, newest_first(), n, enrich).select(
         "id", "amount_paid", "payment_date", "created_at", "student_name", "cashier_name", "payment_method"

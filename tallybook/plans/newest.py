@@ -19,6 +19,15 @@ from tallybook.plans.slices import DEEP_ROWS, slice_rows
 SLACK_ROWS = 100
 
 
+def matching(table: DataFrame, key: str, few: DataFrame, few_key: str) -> DataFrame:
+    """Rows of ``table`` whose key occurs in ``few``; a broadcast hint on ``few`` carries over.
+
+    Looking up a few rows this way scans the table without shuffling it.
+    """
+    want = few.select(F.col(few_key).alias("_want")).distinct()
+    return table.join(want, F.col(key) == F.col("_want"), "left_semi")
+
+
 def newest_after_join(
     facts: DataFrame,
     order: Sequence[Column],

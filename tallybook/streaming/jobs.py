@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tallybook.ledger import Ledger
 from tallybook.operators.admission import ACCEPTED, admit_against, open_accounts
 from tallybook.operators.rates import match_within_validity, throttle
-from tallybook.plans.durable import durable, fresh_path
+from tallybook.plans.durable import fresh_path
 from tallybook.plans.skew import one_per_key
 from tallybook.streaming.tables import BatchTable, RunningSums, drain
 
@@ -51,9 +51,8 @@ def admit_stream(payments: DataFrame, led: Ledger, base: str | None = None, comp
         still = accounts.join(so_far, "student_id", "left").select(
             "student_id", (F.col("open") - F.coalesce("total", F.lit(0))).cast(MONEY).alias("open")
         )
-        judged = durable(admit_against(batch, still))
-        accepted = judged.where(F.col("verdict") == ACCEPTED)
-        verdicts.write(judged, number)
+        verdicts.write(admit_against(batch, still), number)
+        accepted = verdicts.batch(number).where(F.col("verdict") == ACCEPTED)
         spent.add(accepted.groupBy("student_id").agg(F.sum("amount_paid").alias("total")), number)
 
     drain(payments, work, base)
@@ -73,17 +72,16 @@ def throttle_stream(
     decided = BatchTable(spark, f"{base}/decided", _with(events.schema, T.StructField("allowed", T.BooleanType())))
 
     def work(batch: DataFrame, number: int) -> None:
-        rows = durable(batch)
-        first = rows.agg(F.min(ts)).first()[0]
+        first = batch.agg(F.min(ts)).first()[0]
         if first is None:
-            decided.write(rows.withColumn("allowed", F.lit(True)), number)
+            decided.write(batch.withColumn("allowed", F.lit(True)), number)
             return
         earlier = decided.read(before=number).where(F.col("allowed") & (F.col(ts) > F.lit(first - min_gap)))
         clock = earlier.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_last"))
-        timed = rows.join(one_per_key(clock, "_k"), F.col(key) == F.col("_k"), "left")
+        timed = batch.join(one_per_key(clock, "_k"), F.col(key) == F.col("_k"), "left")
         soon = F.coalesce(F.col(ts) < F.col("_last") + F.lit(min_gap), F.lit(False))
-        refused = timed.where(soon).select(*rows.columns, F.lit(False).alias("allowed"))
-        rest = timed.where(~soon).select(*rows.columns)
+        refused = timed.where(soon).select(*batch.columns, F.lit(False).alias("allowed"))
+        rest = timed.where(~soon).select(*batch.columns)
         decided.write(throttle(rest, key, ts, id, min_gap).unionByName(refused), number)
 
     drain(events, work, base)
@@ -109,9 +107,8 @@ def match_stream(
     results = BatchTable(spark, f"{base}/results", tried)
 
     def work(batch: DataFrame, number: int) -> None:
-        rows = durable(batch)
-        issued.write(rows.where("is_issue"), number)
-        attempts = rows.where("not is_issue")
+        issued.write(batch.where("is_issue"), number)
+        attempts = batch.where("not is_issue")
         first = attempts.agg(F.min("ts")).first()[0]
         issues = issued.read(before=number + 1)
         if first is not None:

@@ -59,9 +59,20 @@ def run_to_end(stream: DataFrame, label: str, path: str | None = None) -> DataFr
 
 
 def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], base: str) -> None:
-    """Run ``work`` on every micro-batch until the source is drained."""
+    """Run ``work`` on every micro-batch until the source is drained.
+
+    A batch is cached while it is worked on; what is lost is read again from the source.
+    """
+
+    def cached(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            work(batch, number)
+        finally:
+            batch.unpersist()
+
     query = (
-        stream.writeStream.foreachBatch(work)
+        stream.writeStream.foreachBatch(cached)
         .option("checkpointLocation", f"{base}/progress")
         .trigger(availableNow=True)
         .start()
@@ -79,6 +90,9 @@ class BatchTable:
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
         typed.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def batch(self, number: int) -> DataFrame:
+        return self.read(before=number + 1, from_=number)
+
     def read(self, before: int | None = None, from_: int | None = None) -> DataFrame:
         fs, folder = _hadoop(self.spark, self.path)
         if not fs.exists(folder):

@@ -74,13 +74,21 @@ def _throttle_cold(rows: DataFrame, key: str, ts: str, id: str, gap: timedelta)
 # and the next) and, for each, the last event allowed after it.  Functions of
 # neighbouring blocks compose into one, ``fan_in`` at a time, up to the whole
 # key; walking back down gives every block the time it starts from.  All groups
-# hold one block or ``fan_in`` functions, and the levels are log(blocks).
+# hold one block or ``fan_in`` functions, and the levels are log(blocks).  A
+# function has at most as many entries as the key has distinct times in one gap,
+# which bounds the memory of a task: use a smaller ``fan_in`` for very long gaps.
 
 
 def _micros(s: pd.Series) -> np.ndarray:
     return s.to_numpy().astype("datetime64[us]").astype("int64")
 
 
+def _distinct(entry: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only the last of entries that end alike: a look-up takes the next entry, so it still finds that end."""
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return entry[keep], leave[keep]
+
+
 def block_function(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """(possible first allowed times, last allowed time after each)."""
     t = np.unique(times)
@@ -92,7 +100,7 @@ def block_function(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]
             break
         end = further
     entries = min(len(t), int(np.searchsorted(t, t[0] + gap, "left")) + 1)
-    return t[:entries], t[end[:entries]]
+    return _distinct(t[:entries], t[end[:entries]])
 
 
 def after_blocks(last: np.ndarray, functions: Sequence[tuple[np.ndarray, np.ndarray]], gap: int) -> np.ndarray:
@@ -117,7 +125,7 @@ def compose_blocks(functions: Sequence[tuple[np.ndarray, np.ndarray]], gap: int)
         leaves.append(after_blocks(leave[:n], functions[j + 1 :], gap))
         if n <= len(entry):
             break
-    return np.concatenate(entries), np.concatenate(leaves)
+    return _distinct(np.concatenate(entries), np.concatenate(leaves))
 
 
 def allowed_in_block(times: np.ndarray, last: int | None, gap: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, secret_scan
+from . import bpe, chat, decontaminate, exact_dedup, langid, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -23,6 +27,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found)
+
+
 #: A conversation whose texts hold control strings.
 PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -33,5 +46,65 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(probe))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_secret_scan, op5_language_id, op8_chat_format)}
-ORACLES: dict[str, str] = {}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_byte_bpe,
+        op3_exact_dedup,
+        op4_secret_scan,
+        op5_language_id,
+        op6_suffix_dedup,
+        op7_decontaminate,
+        op8_chat_format,
+        op10_simhash,
+    )
+}
+
+EXACT_DEDUP_SQL = r"""
+WITH t AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n,
+           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
+    FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER best AS keep_id,
+       count(*) OVER (PARTITION BY content) AS group_size,
+       doc_id = first_value(doc_id) OVER best AS kept,
+       sha256(content) AS text_sha256
+FROM t
+WINDOW best AS (PARTITION BY content ORDER BY n DESC, doc_id)
+"""
+
+DECONTAMINATE_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), items AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest([w[i:i + least(len(w), 10) - 1] FOR i IN range(1, len(w) - least(len(w), 10) + 2)]) AS win
+    FROM b WHERE len(w) > 0
+), places AS (
+    SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, (SELECT DISTINCT n FROM items)
+), hits AS (
+    SELECT p.doc_id, p.i, p.n, x.item_id
+    FROM (SELECT doc_id, n, i, w[i:i + n - 1] AS win FROM places) p JOIN items x ON p.win = x.win AND p.n = x.n
+), covered AS (
+    SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES = {"op3_exact_dedup": EXACT_DEDUP_SQL, "op7_decontaminate": DECONTAMINATE_SQL}

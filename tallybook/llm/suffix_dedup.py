@@ -175,14 +175,14 @@ def _cut(length: int):
     return run
 
 
-def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least ``length`` symbols (values below 512)."""
+def suffix_order(symbols: np.ndarray, length: int, width: int = 9) -> np.ndarray:
+    """Starts of all suffixes, sorted by at least ``length`` symbols of ``width`` bits each."""
     n = len(symbols)
-    size = 7
+    size = 63 // width
     padded = np.concatenate([symbols, np.zeros(size, np.int64)])
     key = np.zeros(n, np.int64)
     for i in range(size):
-        key = key << 9 | padded[i : i + n]
+        key = key << width | padded[i : i + n]
     bits = (n + 1).bit_length()
     while True:
         order = np.argsort(key)

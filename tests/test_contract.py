@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as contract
+from tallybook.contract import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,14 +17,15 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 3
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, con, name):
     got = contract.queries()[name](spark, SF_DIR).toArrow()
     want = con.sql(contract.oracle_sql()[name]).to_arrow_table()

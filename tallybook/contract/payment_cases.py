@@ -259,9 +259,9 @@ _SORTS = {
 
 
 def _catalog(sort: str):
-    @case(f"course_catalog_by_{sort}", f"{_CATALOG} order by {_SORTS[sort]} limit 25 offset 25")
+    @case(f"course_catalog_by_{sort}", f"{_CATALOG} order by {_SORTS[sort]}")
     def _(x):
-        return crs.course_catalog(x.led.courses, sort).drop("updated_at").offset(25).limit(25)
+        return crs.course_catalog(x.led.courses, sort).drop("updated_at")
 
 
 for _c in _SORTS:

@@ -24,6 +24,7 @@ from tallybook.plans.totals import with_course, with_paid
 
 FOLD_ROWS = 10_000
 MONEY = "decimal(22,2)"
+GIVEN = "decimal(30,8)"
 ACCEPTED, ALREADY_PAID, EXCEEDS = "accepted", "already_paid", "exceeds_balance"
 
 
@@ -59,11 +60,30 @@ def admit_against(
     blocks: int | None = None,
 ) -> DataFrame:
     """:func:`admit_payments` against given open balances."""
-    due = one_per_key(accounts.select(F.col("student_id").alias("_sid"), F.col("open").alias("_open")), "_sid")
-    amount = F.col("amount_paid").try_cast("decimal(12,2)")
-    rows = incoming.withColumn("_amount", amount).join(
-        due, F.col("student_id") == F.col("_sid"), "left"
-    )
+    due = accounts.select(F.col("student_id").alias("_sid"), F.col("open").alias("_open"))
+    split = split_hot(incoming, ["student_id"], fold_rows)
+    out = _admit_cold(_checked(split.cold, one_per_key(due, "_sid")), incoming.columns, order)
+    if split.hot is None:
+        return out
+    theirs = due.join(split.hot_side().select(F.col("student_id").alias("_hot")), F.col("_sid") == F.col("_hot"), "left_semi")
+    theirs = F.broadcast(theirs) if split.few_keys else one_per_key(theirs, "_sid")
+    by = [F.col(c).asc() for c in (*order, "_amount")]
+    cut = range_blocks(_checked(split.hot, theirs), ["student_id"], by, blocks or split.blocks)
+    return out.unionByName(_admit_hot(cut, incoming.columns, split.few_keys))
+
+
+def _checked(incoming: DataFrame, due: DataFrame) -> DataFrame:
+    """Amounts, open balances and the verdicts that need no order.
+
+    ``_amount`` is the number as given and what the checks compare; ``_paid``
+    is what a payment takes from the balance, in whole cents.  A number beyond the
+    type is larger than any balance.
+    """
+    given = F.col("amount_paid")
+    beyond = F.lit("1e21").cast(GIVEN)
+    amount = F.coalesce(given.try_cast(GIVEN), F.when(given.try_cast("double").between(1e21, float("inf")), beyond))
+    rows = incoming.withColumn("_amount", amount).withColumn("_paid", F.round("_amount", 2).try_cast(MONEY))
+    rows = rows.join(due, F.col("student_id") == F.col("_sid"), "left")
 
     def blank(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("")) == ""
@@ -75,21 +95,20 @@ def admit_against(
         .when(F.col("_open").isNull(), "no_price")
         .when(F.col("_open") <= 0, ALREADY_PAID)
     )
-    rows = rows.withColumn("verdict", verdict).drop("_sid")
-    settled = rows.where("verdict is not null").select(*incoming.columns, "verdict")
-    split = split_hot(rows.where("verdict is null").drop("verdict"), ["student_id"], fold_rows, incoming)
-    out = settled.unionByName(_admit_cold(split.cold, incoming.columns, order))
-    if split.hot is not None:
-        by = [F.col(c).asc() for c in (*order, "_amount")]
-        cut = range_blocks(split.hot, ["student_id"], by, blocks or split.blocks)
-        out = out.unionByName(_admit_hot(cut, incoming.columns, split.few_keys))
-    return out
+    return rows.withColumn("_settled", verdict).drop("_sid")
 
 
 def _admit_cold(rows: DataFrame, columns: list[str], order: tuple[str, ...]) -> DataFrame:
+    """One fold per student; verdicts that are settled already pass through it."""
     sorted_rows = F.array_sort(
         F.collect_list(
-            F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_amount", F.struct(*columns).alias("row"))
+            F.struct(
+                *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                "_amount",
+                "_paid",
+                "_settled",
+                F.struct(*columns).alias("row"),
+            )
         )
     )
     per_student = rows.groupBy("student_id").agg(
@@ -97,10 +116,12 @@ def _admit_cold(rows: DataFrame, columns: list[str], order: tuple[str, ...]) ->
     )
 
     def step(acc: Column, x: Column) -> Column:
-        fits = x["_amount"] <= acc["open"]
+        fits = x["_settled"].isNull() & (x["_amount"] <= acc["open"])
         code = F.when(acc["open"] <= 0, ALREADY_PAID).when(fits, ACCEPTED).otherwise(EXCEEDS)
-        left = F.when(fits, (acc["open"] - x["_amount"]).cast(MONEY)).otherwise(acc["open"])
-        return F.struct(left.alias("open"), F.concat(acc["codes"], F.array(code)).alias("codes"))
+        left = F.when(fits & (acc["open"] > 0), (acc["open"] - x["_paid"]).cast(MONEY)).otherwise(acc["open"])
+        return F.struct(
+            left.alias("open"), F.concat(acc["codes"], F.array(F.coalesce(x["_settled"], code))).alias("codes")
+        )
 
     start = F.struct(F.col("_open").alias("open"), F.array().cast("array<string>").alias("codes"))
     folded = per_student.select("rows", F.aggregate("rows", start, step)["codes"].alias("codes"))
@@ -123,14 +144,14 @@ def _admit_hot(cut: DataFrame, columns: list[str], few_students: bool) -> DataFr
         """One row per hot student: broadcast if there are few, else open to splitting."""
         return F.broadcast(per_student) if few_students else one_per_key(per_student, "student_id")
 
-    live = cut.select("student_id", BLOCK, POS, "_amount", "_open")
+    live = cut.where("_settled is null").select("student_id", BLOCK, POS, "_amount", "_paid", "_open")
     state = durable(
         live.groupBy("student_id").agg(F.max("_open").alias("b"), F.lit(-1).cast("long").alias("after"))
     )
     rounds: list[DataFrame] = []
     while not state.isEmpty():
         live = durable(
-            live.select("student_id", BLOCK, POS, "_amount")
+            live.select("student_id", BLOCK, POS, "_amount", "_paid")
             .join(side(state), "student_id", "inner")
             .where((F.col(POS) > F.col("after")) & (F.col("_amount") <= F.col("b")))
         )
@@ -140,6 +161,8 @@ def _admit_hot(cut: DataFrame, columns: list[str], few_students: bool) -> DataFr
             .where("stop is not null and left_open > 0")
             .select("student_id", F.col("left_open").alias("b"), F.col("stop").alias("after"))
         )
+    if not rounds:
+        return cut.select(*columns, F.col("_settled").alias("verdict"))
     history = (
         reduce(DataFrame.unionByName, rounds)
         .groupBy("student_id")
@@ -156,11 +179,12 @@ def _admit_hot(cut: DataFrame, columns: list[str], few_students: bool) -> DataFr
         F.transform(F.filter("rounds", lambda r: r["left_open"] == 0), lambda r: r["stop"])
     )
     verdict = (
-        F.when(F.exists("rounds", taken), ACCEPTED)
+        F.when(F.col("_settled").isNotNull(), F.col("_settled"))
+        .when(F.exists("rounds", taken), ACCEPTED)
         .when(F.coalesce(pos > paid_off, F.lit(False)), ALREADY_PAID)
         .otherwise(EXCEEDS)
     )
-    return cut.join(side(history), "student_id", "inner").select(*columns, verdict.alias("verdict"))
+    return cut.join(side(history), "student_id", "left").select(*columns, verdict.alias("verdict"))
 
 
 def _small(amount: Column, b: Column) -> Column:
@@ -172,12 +196,12 @@ def _halve(live: DataFrame, state: DataFrame) -> DataFrame:
     b, amount = F.col("b"), F.col("_amount")
     small = _small(amount, b)
     fed = live.select(
-        "student_id", BLOCK, POS, "_amount", "b", F.when(small, amount).otherwise(F.lit(0).cast("decimal(12,2)")).alias("_in_s")
+        "student_id", BLOCK, POS, "_amount", "_paid", "b", F.when(small, F.col("_paid")).otherwise(F.lit(0).cast(MONEY)).alias("_in_s")
     )
     scanned = scan_blocks(fed, ["student_id"], [Running("s", "sum")])
     s = F.col("s").cast(MONEY)
     ends = F.when(small, (b - s) * 2 <= b).otherwise(amount + s <= b)
-    spent = s + F.when(small, F.lit(0)).otherwise(amount)
+    spent = s + F.when(small, F.lit(0)).otherwise(F.col("_paid"))
     found = scanned.groupBy("student_id").agg(
         F.min(F.when(ends, F.struct(F.col(POS).alias("pos"), small.alias("small"), spent.cast(MONEY).alias("spent")))).alias("e")
     )

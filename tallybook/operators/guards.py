@@ -62,11 +62,11 @@ def guard_cashier_changes(requests: DataFrame, led: Ledger) -> DataFrame:
     )
 
 
-# child table -> parent column and what a parent's deletion does to the child
+# parent table -> (child table, its column, what a parent's deletion does to the child)
 FOREIGN_KEYS = {
-    "students": {"students": ("payments", "student_id", "cascade")},
-    "courses": {"courses": ("students", "course_id", "set_null")},
-    "users": {"payments": ("payments", "collected_by", "set_null"), "logs": ("logs", "user_id", "set_null")},
+    "students": [("payments", "student_id", "cascade")],
+    "courses": [("students", "course_id", "set_null")],
+    "users": [("payments", "collected_by", "set_null"), ("logs", "user_id", "set_null")],
 }
 
 
@@ -75,17 +75,26 @@ def cascade_deletes(keys: DataFrame, led: Ledger, table: str, policy: str | None
 
     Payments go with their student; a student's course and the user of a
     payment or log entry become NULL.  ``policy`` (cascade or set_null)
-    overrides the action for every child.
+    overrides the action for every child.  Rows that go by a cascade take
+    their own children along, down to the last level.
     """
-    gone = one_per_key(keys.select(F.col("id").alias("_gone")).distinct(), "_gone")
     tables = led.tables()
-    out = {table: tables[table].join(gone, F.col("id") == F.col("_gone"), "left_anti")}
-    for child, column, action in FOREIGN_KEYS[table].values():
-        rows = out.get(child, tables[child])
-        match = F.col(column) == F.col("_gone")
-        if (policy or action) == "cascade":
-            out[child] = rows.join(gone, match, "left_anti")
-        else:
-            marked = rows.join(gone, match, "left")
-            out[child] = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+    out: dict[str, DataFrame] = {}
+
+    def delete(parent: str, ids: DataFrame) -> None:
+        gone = one_per_key(ids.select(F.col("id").alias("_gone")).distinct(), "_gone")
+        out[parent] = out.get(parent, tables[parent]).join(gone, F.col("id") == F.col("_gone"), "left_anti")
+        for child, column, action in FOREIGN_KEYS.get(parent, []):
+            rows = out.get(child, tables[child])
+            match = F.col(column) == F.col("_gone")
+            if (policy or action) == "cascade":
+                if child in FOREIGN_KEYS:
+                    delete(child, rows.join(gone, match, "left_semi").select("id"))
+                else:
+                    out[child] = rows.join(gone, match, "left_anti")
+            else:
+                marked = rows.join(gone, match, "left")
+                out[child] = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+
+    delete(table, keys)
     return led.with_tables(**out)

@@ -15,7 +15,12 @@ STATE_ACTIONS = ("activate", "deactivate", "toggle")
 
 
 def upsert_master(
-    current: DataFrame, changes: DataFrame, key: str, as_of: str | date | datetime
+    current: DataFrame,
+    changes: DataFrame,
+    key: str,
+    as_of: str | date | datetime,
+    hot_rows: int = HOT_ROWS,
+    blocks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, one report row per changed key).
 
@@ -26,22 +31,25 @@ def upsert_master(
     toggles after it.  The report says inserted, updated, unchanged or missing
     (changes of a key that neither exists nor is inserted).
 
-    Each key's changes are reduced by partial aggregation, never listed.
+    Each key's changes are reduced by partial aggregation, never listed; running
+    counts of toggles come from the ordered scan that splits hot keys.
     """
     values = [c for c in changes.columns if c in current.columns and c not in (key, "is_active", "updated_at")]
     action, seq = F.col("action"), F.col("seq")
     sets = action.isin("insert", "activate", "deactivate")
-    last_set = changes.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(sets, seq)).alias("_set"))
-    rows = changes.join(one_per_key(last_set, "_key"), F.col(key) == F.col("_key"), "inner")
+    toggled = Running("_toggled", "sum", F.when(action == "toggle", 1).otherwise(0))
+    rows = running_values(changes, [key], [seq.asc()], [toggled], hot_rows, blocks)
     writes = action.isin("insert", "update")
 
     def last_value(c: str) -> Column:
         return F.max_by(F.col(c), F.when(writes & F.col(c).isNotNull(), seq)).alias(f"_new_{c}")
 
-    net = rows.groupBy("_key").agg(
+    # flips after the last set: all of them less those up to it
+    before = F.coalesce(F.max_by("_toggled", F.when(sets, seq)), F.lit(0))
+    net = rows.groupBy(F.col(key).alias("_key")).agg(
         F.bool_or(action == "insert").alias("_insert"),
-        F.max(F.when(seq == F.col("_set"), action != "deactivate")).alias("_state"),
-        F.count_if((action == "toggle") & (seq > F.coalesce("_set", F.lit(-1)))).alias("_flips"),
+        F.max_by(action != "deactivate", F.when(sets, seq)).alias("_state"),
+        (F.count_if(action == "toggle") - before).alias("_flips"),
         *[last_value(c) for c in values],
     )
     had = current.withColumn("_had", F.lit(True))

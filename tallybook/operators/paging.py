@@ -51,15 +51,25 @@ def page_meta(df: DataFrame, page: int, per_page: int, min_pages: int = 1) -> Da
     )
 
 
+def _past(name: str, desc: bool, value: Any) -> Column:
+    """Rows behind ``value`` in one ordering column; NULLs come first ascending and last descending."""
+    column = F.col(name)
+    if value is None:
+        return F.lit(False) if desc else column.isNotNull()
+    return (column < F.lit(value)) | column.isNull() if desc else column > F.lit(value)
+
+
 def paginate_keyset(
     df: DataFrame, keys: Sequence[tuple[str, bool]], per_page: int, after: Sequence[Any] | None = None
 ) -> DataFrame:
-    """``keys`` are (column, descending); ``after`` holds their values in the last row seen."""
+    """``keys`` are (column, descending); ``after`` holds their values in the last row seen.
+
+    NULL keys have a place like any other value, so the pages add up to the table.
+    """
     if after is not None:
         steps = []
         for i, (name, desc) in enumerate(keys):
-            same = [F.col(k) == F.lit(v) for (k, _), v in zip(keys[:i], after)]
-            past = F.col(name) < F.lit(after[i]) if desc else F.col(name) > F.lit(after[i])
-            steps.append(reduce(and_, [*same, past]))
+            same = [F.col(k).eqNullSafe(F.lit(v)) for (k, _), v in zip(keys[:i], after)]
+            steps.append(reduce(and_, [*same, _past(name, desc, after[i])]))
         df = df.where(reduce(or_, steps))
     return df.orderBy(*[F.col(k).desc() if d else F.col(k).asc() for k, d in keys]).limit(per_page)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import timedelta
 from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from tallybook.plans.ordered import BLOCK, HOT_ROWS, POS, Running, range_blocks,
 FOLD_ROWS = 10_000
 FAN_IN = 8
 
+# functions of this module go to the workers by value: they need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def throttle(
     events: DataFrame,
@@ -33,15 +38,20 @@ def throttle(
 
     Exactly ``min_gap`` later passes, and a refused event does not restart the
     clock, so the gap to the previous event does not decide.  Events at the same
-    instant go by ``id``.
+    instant go by ``id``.  An event without a time is allowed and leaves the clock
+    alone; without a gap everything is allowed.
     """
+    if min_gap <= timedelta(0):
+        return events.withColumn("allowed", F.lit(True))
     split = split_hot(events, [key], fold_rows)
     out = _throttle_cold(split.cold, key, ts, id, min_gap)
     if split.hot is None:
         return out
     n = blocks or split.blocks
-    cut = range_blocks(split.hot, [key], [F.col(ts).asc(), F.col(id).asc()], n)
-    return out.unionByName(_throttle_hot(cut, key, ts, min_gap, n, fan_in, events.columns))
+    untimed = split.hot.where(F.col(ts).isNull()).withColumn("allowed", F.lit(True))
+    timed = split.hot.where(F.col(ts).isNotNull())
+    cut = range_blocks(timed, [key], [F.col(ts).asc(), F.col(id).asc()], n)
+    return out.unionByName(untimed).unionByName(_throttle_hot(cut, key, ts, min_gap, n, fan_in, events.columns))
 
 
 def _throttle_cold(rows: DataFrame, key: str, ts: str, id: str, gap: timedelta) -> DataFrame:
@@ -79,8 +89,12 @@ def _throttle_cold(rows: DataFrame, key: str, ts: str, id: str, gap: timedelta)
 # which bounds the memory of a task: use a smaller ``fan_in`` for very long gaps.
 
 
-def _micros(s: pd.Series) -> np.ndarray:
-    return s.to_numpy().astype("datetime64[us]").astype("int64")
+def _micros(ts: Column, kind: T.DataType) -> Column:
+    """Microseconds on the column's own clock; any year, no time zone in between."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(ts)
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+    return F.unix_date(F.to_date(ts)) * F.lit(86_400_000_000) + (seconds * 1_000_000).cast("long")
 
 
 def _distinct(entry: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +168,7 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
     )
 
     def of_block(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, leave = block_function(_micros(pdf["_ts"]), gap)
+        entry, leave = block_function(pdf["_at"].to_numpy(), gap)
         return pd.DataFrame({"_key": [group[0]], "node": [group[1]], "entry": [entry], "leave": [leave]})
 
     def read(pdf: pd.DataFrame):
@@ -181,12 +195,13 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
         return pd.DataFrame({"_key": group[0], "node": nodes, "last": pd.array(before, dtype="Int64")})
 
     def decide(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS, ignore_index=True)
+        pdf = pdf.sort_values("_row", ignore_index=True)
         start = pdf["_last"].iloc[0]
-        pdf["allowed"] = allowed_in_block(_micros(pdf[ts]), None if pd.isna(start) else int(start), gap)
-        return pdf[[*columns, "allowed"]]
+        flags = allowed_in_block(pdf["_at"].to_numpy(), None if pd.isna(start) else int(start), gap)
+        return pd.DataFrame({"_row": pdf["_row"], "allowed": flags})
 
-    leaves = cut.select(F.col(key).alias("_key"), F.col(BLOCK).alias("node"), F.col(ts).alias("_ts"))
+    at = _micros(F.col(ts), cut.schema[ts].dataType).alias("_at")
+    leaves = cut.select(F.col(key).alias("_key"), F.col(BLOCK).alias("node"), at)
     levels = [durable(leaves.groupBy("_key", "node").applyInPandas(of_block, function))]
     n = blocks
     parent = F.floor(F.col("node") / F.lit(fan_in)).cast("long")
@@ -205,9 +220,11 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
             rows = rows.drop("_k", "_n")
         clocks = durable(rows.groupBy("_key", "parent").applyInPandas(walk, clock))
     c = clocks.select(F.col("_key").alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_last"))
-    placed = cut.join(c, F.col(key).eqNullSafe(F.col("_k")) & (F.col(BLOCK) == F.col("_n")), "inner")
-    out = T.StructType([cut.schema[c] for c in columns] + [T.StructField("allowed", T.BooleanType())])
-    return placed.groupBy("_k", "_n").applyInPandas(decide, out)
+    # only places and times go through Python; the flags come back by place
+    lean = cut.select(F.col(key).alias("_key"), F.col(BLOCK).alias("_node"), F.col(POS).alias("_row"), at)
+    placed = lean.join(c, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_node") == F.col("_n")), "inner")
+    flags = placed.groupBy("_k", "_n").applyInPandas(decide, "_row long, allowed boolean")
+    return cut.join(flags, F.col(POS) == F.col("_row"), "inner").select(*columns, "allowed")
 
 
 def match_within_validity(
@@ -218,6 +235,7 @@ def match_within_validity(
     ttl: timedelta = timedelta(minutes=10),
     hot_rows: int = HOT_ROWS,
     blocks: int | None = None,
+    uses: DataFrame | None = None,
 ) -> DataFrame:
     """``attempts`` (keys, code, ts, id) plus ``issue_id`` and ``valid``.
 
@@ -228,24 +246,36 @@ def match_within_validity(
     attempts are formed.
 
     ``issues`` has the boolean ``supersedes``: a resend retires what came
-    before it, a first request does not.
+    before it, a first request does not.  ``uses`` (keys, ts) are completed
+    resets: each uses up all codes that its key was issued up to then.  An attempt
+    at the very time of a use comes before it.
     """
     by_code = [*keys, code] if code else list(keys)
     shared = [*by_code, "ts", "id"]
     line = issues.select(*shared, F.lit(0).alias("_kind"), "supersedes").unionByName(
         attempts.select(*shared, F.lit(1).alias("_kind"), F.lit(False).alias("supersedes"))
     )
+    if uses is not None:
+        no_code = [F.lit(None).cast(attempts.schema[code].dataType).alias(code)] if code else []
+        no_id = F.lit(None).cast(attempts.schema["id"].dataType).alias("id")
+        line = line.unionByName(
+            uses.select(*keys, *no_code, "ts", no_id, F.lit(2).alias("_kind"), F.lit(False).alias("supersedes"))
+        )
     order = [F.col("ts").asc(), F.col("_kind").asc(), F.col("id").asc()]
     stamp = F.struct("ts", "id")
     issue = Running("_issue", "max", F.when(F.col("_kind") == 0, stamp))
-    retired = Running("_retired", "max", F.when((F.col("_kind") == 0) & F.col("supersedes"), stamp))
+    ends = [Running("_retired", "max", F.when((F.col("_kind") == 0) & F.col("supersedes"), stamp))]
+    if uses is not None:
+        ends.append(Running("_used", "max", F.when(F.col("_kind") == 2, F.col("ts"))))
     if code:
         line = running_values(line, by_code, order, [issue], hot_rows, blocks)
-        line = running_values(line, keys, order, [retired], hot_rows, blocks)
+        line = running_values(line, keys, order, ends, hot_rows, blocks)
     else:
-        line = running_values(line, keys, order, [issue, retired], hot_rows, blocks)
+        line = running_values(line, keys, order, [issue, *ends], hot_rows, blocks)
     fresh = F.col("ts") < F.col("_issue.ts") + F.lit(ttl)
     current = F.col("_retired").isNull() | (F.col("_issue") >= F.col("_retired"))
+    if uses is not None:
+        current &= F.col("_used").isNull() | (F.col("_issue.ts") > F.col("_used"))
     return line.where("_kind = 1").select(
         *shared,
         F.col("_issue.id").alias("issue_id"),

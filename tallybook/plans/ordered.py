@@ -89,6 +89,11 @@ class Split:
     hot: DataFrame | None = None
     blocks: int = 0
     few_keys: bool = True
+    keys: HotKeys | None = None
+
+    def hot_side(self) -> DataFrame:
+        """The hot keys, as the small side of a join."""
+        return self.keys.side()
 
 
 def split_hot(
@@ -105,6 +110,7 @@ def split_hot(
         df.join(h, same, "left_semi"),
         hot.blocks(),
         hot.count <= BROADCAST_ROWS,
+        hot,
     )
 
 

@@ -160,6 +160,13 @@ def _throttle(name: str, gap: timedelta, text: str):
         return throttle(events, "user_id", "ts", "event_id", gap)
 
 
+@case("throttle_1_hour_in_blocks", _throttle_sql("1 hour"), recursive=True)
+def _(x):
+    """Every key with more than five events takes the way of the hot keys."""
+    events = x.raw("events").select("event_id", "user_id", "ts")
+    return throttle(events, "user_id", "ts", "event_id", timedelta(hours=1), fold_rows=5, blocks=8)
+
+
 _throttle("throttle_60_seconds", timedelta(seconds=60), "60 second")
 _throttle("throttle_1_hour", timedelta(hours=1), "1 hour")
 
@@ -187,3 +194,24 @@ from att a""",
 def _(x):
     issues, attempts = issues_and_attempts(x.raw("events"))
     return match_within_validity(issues, attempts, ["user_id"], "code", timedelta(days=1))
+
+
+@case(
+    "match_with_used_codes",
+    """, iss as (select user_id, event_id % 3 as code, ts, event_id as id, event_id % 2 = 0 as resend from events where event_type = 'signup'),
+use as (select user_id, ts from events where event_type = 'click' and event_id % 4 = 0),
+att as (select user_id, event_id % 3 as code, ts, event_id as id from events where event_type = 'purchase')
+select a.user_id, a.ts, a.id,
+       exists (select 1 from iss i where i.user_id = a.user_id and i.code = a.code and i.ts <= a.ts
+               and a.ts < i.ts + interval 1 day
+               and not exists (select 1 from iss z where z.user_id = a.user_id and z.resend and z.ts <= a.ts
+                               and (z.ts, z.id) > (i.ts, i.id))
+               and not exists (select 1 from use u where u.user_id = a.user_id and u.ts < a.ts and u.ts >= i.ts)) as valid
+from att a""",
+)
+def _(x):
+    events = x.raw("events")
+    issues, attempts = issues_and_attempts(events)
+    uses = events.where("event_type = 'click' and event_id % 4 = 0").select("user_id", "ts")
+    matched = match_within_validity(issues, attempts, ["user_id"], "code", timedelta(days=1), uses=uses)
+    return matched.select("user_id", "ts", "id", "valid")

@@ -12,8 +12,15 @@ from tallybook.contract.registry import Inputs, case
 from tallybook.contract.write_cases import ADMISSION_WITH, no_payments
 from tallybook.sources.fixtures import SOURCES, as_ledger_table, driver_path, driver_schema
 from tallybook.streaming.jobs import admit_stream, match_stream, revenue_stream, throttle_stream
-from tallybook.streaming.tables import parquet_stream, run_to_end
-from tallybook.streaming.windows import stream_activity, stream_collections, stream_valid_attempts
+from tallybook.plans.durable import fresh_path
+from tallybook.streaming.tables import instant, parquet_stream, run_to_end
+from tallybook.streaming.windows import (
+    running_activity,
+    running_collections,
+    stream_activity,
+    stream_collections,
+    stream_valid_attempts,
+)
 
 
 def raw_stream(x: Inputs, name: str) -> DataFrame:
@@ -25,6 +32,22 @@ def ledger_stream(x: Inputs, table: str) -> DataFrame:
     return as_ledger_table(raw_stream(x, SOURCES[table]), table)
 
 
+def in_files(x: Inputs, name: str, ts: str, parts: int = 3) -> DataFrame:
+    """A driver table as a stream of several files, one per micro-batch.
+
+    Files follow the time of the rows, but every third row comes up to an hour late.
+    """
+    raw = x.raw(name)
+    path = fresh_path(x.spark, f"files-{name}")
+    at = F.unix_seconds(instant(F.col(ts)))
+    low, high = raw.agg(F.min(at), F.max(at)).first()
+    arrival = at + F.when(F.pmod(F.hash(*raw.columns), F.lit(3)) == 0, 3600).otherwise(0)
+    part = F.least(F.lit(parts - 1), F.floor((arrival - F.lit(low)) / F.lit(max(1, (high - low) // parts + 1))))
+    for number in range(parts):
+        raw.where(F.coalesce(part, F.lit(0)) == number).write.mode("append").parquet(path)
+    return parquet_stream(x.spark, path, raw.schema, 1)
+
+
 # windows that the final watermark (latest event minus the delay) has passed
 _DAYS = """
 days as (
@@ -64,6 +87,25 @@ def _(x):
     return run_to_end(stream_activity(ledger_stream(x, "logs")), "activity")
 
 
+@case(
+    "stream_collections_running",
+    """select date_trunc('day', created_at)::timestamp as window_start, sum(amount_paid)::double as total_collected,
+       count(*) as payment_count from payments group by 1""",
+)
+def _(x):
+    return running_collections(as_ledger_table(in_files(x, SOURCES["payments"], "l_shipdate"), "payments"))
+
+
+@case(
+    "stream_activity_running",
+    """, hop as (select time_bucket(interval 5 minute, created_at) - k * interval 5 minute as window_start, user_id
+          from logs cross join range(12) r(k))
+select window_start, count(*) as log_count, count(distinct user_id) as unique_users from hop group by window_start""",
+)
+def _(x):
+    return running_activity(as_ledger_table(in_files(x, SOURCES["logs"], "ts"), "logs"), late="2 hours")
+
+
 @case(
     "stream_valid_attempts",
     """select a.user_id, a.event_id as id, a.ts from events a where a.event_type = 'purchase'
@@ -79,8 +121,8 @@ def _(x):
 
 @case("stream_throttle", _throttle_sql("1 hour"), recursive=True)
 def _(x):
-    events = raw_stream(x, "events").select("event_id", "user_id", "ts")
-    return throttle_stream(events, "user_id", "ts", "event_id", timedelta(hours=1))
+    events = in_files(x, "events", "ts").select("event_id", "user_id", "ts")
+    return throttle_stream(events, "user_id", "ts", "event_id", timedelta(hours=1), late=timedelta(hours=2))
 
 
 @case(
@@ -94,12 +136,12 @@ last_one as (
 select user_id, id, ts, coalesce(ts < li[1] + interval 1 day and (lz is null or li >= lz), false) as valid from last_one""",
 )
 def _(x):
-    issues, attempts = issues_and_attempts(raw_stream(x, "events"))
+    issues, attempts = issues_and_attempts(in_files(x, "events", "ts"))
     no = F.lit(False)
     line = issues.withColumn("is_issue", F.lit(True)).unionByName(
         attempts.withColumns({"supersedes": no, "is_issue": no})
     )
-    return match_stream(line, ["user_id"], "code", timedelta(days=1)).drop("issue_id", "code")
+    return match_stream(line, ["user_id"], "code", timedelta(days=1), late=timedelta(hours=2)).drop("issue_id", "code")
 
 
 @case(
@@ -109,7 +151,8 @@ def _(x):
     recursive=True,
 )
 def _(x):
-    judged = admit_stream(ledger_stream(x, "payments"), no_payments(x.led))
+    payments = as_ledger_table(in_files(x, SOURCES["payments"], "l_shipdate"), "payments")
+    judged = admit_stream(payments, no_payments(x.led))
     return judged.select("id", "student_id", "amount_paid", "verdict")
 
 
@@ -118,4 +161,4 @@ def _(x):
     "select date_trunc('month', payment_date)::date as month_start, sum(amount_paid)::double as monthly_total from payments group by 1",
 )
 def _(x):
-    return revenue_stream(ledger_stream(x, "payments"))
+    return revenue_stream(as_ledger_table(in_files(x, SOURCES["payments"], "l_shipdate"), "payments"))

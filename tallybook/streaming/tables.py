@@ -58,7 +58,26 @@ def run_to_end(stream: DataFrame, label: str, path: str | None = None) -> DataFr
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], base: str) -> None:
+def run_updates(stream: DataFrame, keys: Sequence[str], label: str, path: str | None = None) -> DataFrame:
+    """The current state of an aggregation, windows that are still open included.
+
+    Each micro-batch leaves the groups that it changed under its own number; a
+    rerun overwrites them, and of each group the newest counts.
+    """
+    spark = stream.sparkSession
+    base = path or fresh_path(spark, label)
+    changed = BatchTable(spark, f"{base}/changed", T.StructType([*stream.schema, T.StructField("_batch", T.LongType())]))
+
+    def work(batch: DataFrame, number: int) -> None:
+        changed.write(batch.withColumn("_batch", F.lit(number)), number)
+
+    drain(stream, work, base, "update")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = changed.read().groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("now"))
+    return newest.select(*keys, "now.*").select(*stream.columns)
+
+
+def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], base: str, mode: str = "append") -> None:
     """Run ``work`` on every micro-batch until the source is drained.
 
     A batch is cached while it is worked on; what is lost is read again from the source.
@@ -72,7 +91,8 @@ def drain(stream: DataFrame, work: Callable[[DataFrame, int], None], base: str)
             batch.unpersist()
 
     query = (
-        stream.writeStream.foreachBatch(cached)
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(cached)
         .option("checkpointLocation", f"{base}/progress")
         .trigger(availableNow=True)
         .start()
@@ -93,17 +113,30 @@ class BatchTable:
     def batch(self, number: int) -> DataFrame:
         return self.read(before=number + 1, from_=number)
 
-    def read(self, before: int | None = None, from_: int | None = None) -> DataFrame:
+    def numbers(self) -> list[int]:
+        """The batches there are: one listing, no file is opened."""
         fs, folder = _hadoop(self.spark, self.path)
         if not fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+    def last(self) -> int | None:
+        return max(self.numbers(), default=None)
+
+    def read(self, before: int | None = None, from_: int | None = None) -> DataFrame:
+        """The rows of some batches; only their files are listed and opened."""
+        wanted = [n for n in self.numbers() if (before is None or n < before) and (from_ is None or n >= from_)]
+        if not wanted:
             return self.spark.createDataFrame([], self.schema)
-        with_batch = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        rows = self.spark.read.schema(with_batch).parquet(self.path)
-        if before is not None:
-            rows = rows.where(F.col("batch") < before)
-        if from_ is not None:
-            rows = rows.where(F.col("batch") >= from_)
-        return rows.select(*self.schema.names)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={n}" for n in wanted])
+
+    def drop(self, before: int) -> None:
+        """Removes batches that nothing reads any more."""
+        for n in self.numbers():
+            if n < before:
+                fs, folder = _hadoop(self.spark, f"{self.path}/batch={n}")
+                fs.delete(folder, True)
 
 
 class RunningSums:
@@ -123,6 +156,9 @@ class RunningSums:
         self.parts.write(sums, batch)
         if batch % self.compact == self.compact - 1:
             self.full.write(self._sums(batch + 1, batch + 1 - self.compact, None), batch)
+            # the sums before and the differences since are kept: this batch may run again
+            self.full.drop(before=batch - self.compact)
+            self.parts.drop(before=batch + 1 - self.compact)
 
     def before(self, batch: int, only: DataFrame | None = None) -> DataFrame:
         """Sums over the batches below ``batch``, for the keys in ``only`` if given."""

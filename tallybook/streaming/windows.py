@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.streaming.tables import instant, wall_time
+from tallybook.streaming.tables import instant, run_updates, wall_time
 
 
 def stream_collections(
@@ -53,6 +53,27 @@ def stream_activity(
     return counts.select(wall_time(F.col("span.start")).alias("window_start"), "log_count", "unique_users")
 
 
+def running_collections(
+    payments: DataFrame, by: Sequence[str] = (), late: str = "1 day", size: str = "1 day", slide: str | None = None, path: str | None = None
+) -> DataFrame:
+    """:func:`stream_collections` as it stands now: today's sum as well as closed days."""
+    return run_updates(stream_collections(payments, by, late, size, slide), ["window_start", *by], "collections", path)
+
+
+def running_activity(
+    logs: DataFrame, size: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes", path: str | None = None
+) -> DataFrame:
+    """:func:`stream_activity` as it stands now, the last hour included.
+
+    The stream keeps entries per (window, user); windows are summed up when they are read.
+    """
+    rows = logs.withColumn("at", instant(F.col("created_at"))).withWatermark("at", late)
+    per_user = rows.groupBy(F.window("at", size, slide).alias("span"), "user_id").agg(F.count("*").alias("n"))
+    per_user = per_user.select(wall_time(F.col("span.start")).alias("window_start"), "user_id", "n")
+    now = run_updates(per_user, ["window_start", "user_id"], "activity", path)
+    return now.groupBy("window_start").agg(F.sum("n").alias("log_count"), F.count("user_id").alias("unique_users"))
+
+
 def stream_valid_attempts(
     issues: DataFrame, attempts: DataFrame, keys: Sequence[str], ttl: str = "10 minutes", late: str = "10 minutes"
 ) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tallybook import Ledger
 from tallybook.streaming.jobs import admit_stream, match_stream, revenue_stream, throttle_stream
+from tallybook.operators.rates import throttle
+from tallybook.streaming.order import late_rows
 from tallybook.streaming.tables import instant, parquet_stream, run_to_end, wall_time
-from tallybook.streaming.windows import stream_activity, stream_collections
+from tallybook.streaming.windows import running_collections, stream_activity, stream_collections
 
 T0 = datetime(2024, 1, 1)
 PAYMENT = "student_id long, created_at timestamp_ntz, id long, amount_paid decimal(12,2), payment_method string, payment_date date, collected_by long"
@@ -41,33 +43,62 @@ def test_admission_over_many_batches(spark, tmp_path):
         payments=spark.createDataFrame([(1, D(10))], "student_id long, amount_paid decimal(12,2)"),
     )
     path, base = str(tmp_path / "in"), str(tmp_path / "job")
-    want, opened, done = {}, {**prices, 1: prices[1] - 10}, 0
+    everything, opened, done = [], {**prices, 1: prices[1] - 10}, 0
     for step in range(2):
         for _ in range(3):
             rows = [payment(done + i, rng.randrange(5), rng.randrange(100), rng.randrange(1, 60)) for i in range(20)]
             done += 20
+            everything += rows
             feed(spark, path, rows, PAYMENT)
-            verdicts = brute.admit([(r[0], (r[1], r[2]), r[3]) for r in rows], opened)
-            for r in rows:
-                want[r[2]] = verdicts[r[0], (r[1], r[2])]
-                opened[r[0]] -= r[3] if want[r[2]] == "accepted" else 0
+        verdicts = brute.admit([(r[0], (r[1], r[2]), r[3]) for r in everything], opened)
+        want = {r[2]: verdicts[r[0], (r[1], r[2])] for r in everything}
         got = admit_stream(stream(spark, path, PAYMENT), led, base, compact=2)  # a restart in the second step
         assert {r.id: r.verdict for r in got.collect()} == want
 
 
-def test_throttle_over_many_batches(spark, tmp_path):
+def test_throttle_does_not_depend_on_the_batches(spark, tmp_path):
+    """Events come up to ``late`` out of order; the answer is that of the batch operator."""
     rng = random.Random(4)
-    schema, path = "k long, ts timestamp_ntz, id long", str(tmp_path / "in")
-    gap, last, want = timedelta(seconds=60), {}, {}
-    for b in range(4):
-        rows = [(rng.randrange(3), T0 + timedelta(seconds=b * 200 + rng.randrange(400)), b * 50 + i) for i in range(50)]
+    schema, path, base = "k long, ts timestamp_ntz, id long", str(tmp_path / "in"), str(tmp_path / "job")
+    gap, late, everything = timedelta(seconds=60), timedelta(seconds=150), []
+    for b in range(5):
+        rows = [(rng.choice([0, 0, 1, None]), T0 + timedelta(seconds=b * 200 + rng.randrange(-100, 200)), b * 50 + i) for i in range(50)]
+        everything += rows
         feed(spark, path, rows, schema)
-        for k, ts, i in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-            want[i] = k not in last or ts - last[k] >= gap
-            if want[i]:
-                last[k] = ts
-    got = throttle_stream(stream(spark, path, schema), "k", "ts", "id", gap, str(tmp_path / "job"))
-    assert {r.id: r.allowed for r in got.collect()} == want
+        if b in (1, 3, 4):  # restarts; what waits is judged provisionally each time
+            got = throttle_stream(stream(spark, path, schema), "k", "ts", "id", gap, base, late)
+            batch = throttle(spark.createDataFrame(everything, schema), "k", "ts", "id", gap)
+            assert {r.id: r.allowed for r in got.collect()} == {r.id: r.allowed for r in batch.collect()}
+    assert late_rows(spark, base, spark.createDataFrame([], schema).schema).count() == 0
+
+
+def test_later_event_of_an_earlier_time(spark, tmp_path):
+    """The first event refuses nothing that happened hours before it; what comes too late is kept apart."""
+    schema, path, base = "k long, ts timestamp_ntz, id long", str(tmp_path / "in"), str(tmp_path / "job")
+    for hour, i in ((2, 1), (0, 2), (9, 3), (1, 4)):
+        feed(spark, path, [(1, T0 + timedelta(hours=hour), i)], schema)
+    got = throttle_stream(stream(spark, path, schema), "k", "ts", "id", timedelta(seconds=60), base, timedelta(hours=3))
+    assert {r.id: r.allowed for r in got.collect()} == {1: True, 2: True, 3: True}
+    assert [r.id for r in late_rows(spark, base, spark.createDataFrame([], schema).schema).collect()] == [4]
+
+
+def test_state_does_not_grow_with_the_batches(spark, tmp_path):
+    schema, path, base = "k long, ts timestamp_ntz, id long", str(tmp_path / "in"), tmp_path / "job"
+    for b in range(12):
+        feed(spark, path, [(i, T0 + timedelta(minutes=10 * b, seconds=i), b * 5 + i) for i in range(5)], schema)
+    got = throttle_stream(stream(spark, path, schema), "k", "ts", "id", timedelta(seconds=60), str(base), timedelta(minutes=10))
+    assert got.where("allowed").count() == 60
+    for name in ("clocks", "waiting", "marks"):
+        assert len([f for f in (base / name).iterdir() if f.name.startswith("batch=")]) <= 3, name
+
+
+def test_sums_keep_only_what_a_rerun_needs(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for b in range(9):
+        feed(spark, path, [payment(b, 1, b, 1)], PAYMENT)
+    revenue_stream(stream(spark, path, PAYMENT), str(tmp_path / "job"), compact=2)
+    for name, most in (("parts", 4), ("full", 2)):
+        assert len([f for f in (tmp_path / "job/sums" / name).iterdir() if f.name.startswith("batch=")]) <= most
 
 
 def test_validity_over_many_batches(spark, tmp_path):
@@ -83,7 +114,7 @@ def test_validity_over_many_batches(spark, tmp_path):
             rows.append((*row, issue))
             (issues if issue else attempts).append(row if issue else row[:4])
         feed(spark, path, rows, schema)
-    got = match_stream(stream(spark, path, schema), ["k"], "code", ttl, str(tmp_path / "job"))
+    got = match_stream(stream(spark, path, schema), ["k"], "code", ttl, str(tmp_path / "job"), timedelta(minutes=70))
     assert {r.id: r.valid for r in got.collect()} == brute.validity(issues, attempts, ttl)
 
 
@@ -97,6 +128,8 @@ def test_revenue_over_many_batches(spark, tmp_path):
             want[month] = want.get(month, 0) + r[3]
     got = revenue_stream(stream(spark, path, PAYMENT), str(tmp_path / "job"), compact=3)
     assert {r.month_start: r.monthly_total for r in got.collect()} == want
+    again = revenue_stream(stream(spark, path, PAYMENT), str(tmp_path / "job"), compact=3)  # nothing new
+    assert {r.month_start: r.monthly_total for r in again.collect()} == want
 
 
 def test_late_rows_are_dropped_and_closed_windows_complete(spark, tmp_path):
@@ -110,6 +143,15 @@ def test_late_rows_are_dropped_and_closed_windows_complete(spark, tmp_path):
     assert got == {T0: (D(12), 2), T0 + timedelta(days=5): (D(3), 2)}
 
 
+def test_running_windows_show_what_is_still_open(spark, tmp_path):
+    path, day = str(tmp_path / "in"), 60 * 24
+    for rows in ([payment(1, 1, 0, 5)], [payment(2, 1, 10, 7), payment(3, 1, day, 1)], [payment(4, 1, day + 5, 2)]):
+        feed(spark, path, rows, PAYMENT)
+        out = running_collections(stream(spark, path, PAYMENT), path=str(tmp_path / "job"))
+        got = {r.window_start: (r.total_collected, r.payment_count) for r in out.collect()}
+    assert got == {T0: (D(12), 2), T0 + timedelta(days=1): (D(3), 2)}
+
+
 def test_activity_windows_exact_and_approximate(spark, tmp_path):
     schema, path = "id long, user_id long, created_at timestamp_ntz", str(tmp_path / "in")
     feed(spark, path, [(i, i % 4, T0 + timedelta(minutes=i)) for i in range(300)], schema)

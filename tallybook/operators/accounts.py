@@ -13,7 +13,7 @@ from tallybook.functions.text import full_name, search_any
 from tallybook.ledger import Ledger
 from tallybook.operators.paging import newest_first, page_meta, paginate
 from tallybook.plans.durable import durable
-from tallybook.plans.newest import matching
+from tallybook.plans.newest import counted_small, matching
 from tallybook.plans.totals import zero, accounts, with_course, with_paid
 
 PROFILE = (
@@ -92,7 +92,7 @@ def student_account_page(
         )
         return paginate(kept, newest_first(), page, per_page)
     shown = durable(paginate(students, newest_first(), page, per_page))
-    few = F.broadcast(shown)
+    few = counted_small(shown, per_page)
     theirs = matching(led.payments, "student_id", few, "id")
     courses = matching(led.courses, "id", few, "course_id")
     rows = student_accounts(led.with_tables(students=shown, payments=theirs, courses=courses))
@@ -201,20 +201,21 @@ def ledger_summary(led: Ledger) -> DataFrame:
     return rows.agg(*counts, F.count("*").alias("total_students"))
 
 
-def account_balances(led: Ledger, ids: DataFrame | None = None, few: bool = False) -> DataFrame:
+def account_balances(led: Ledger, ids: DataFrame | None = None, few: int | None = None) -> DataFrame:
     """Due, paid and signed balance; NULL balance where there is no price.
 
     ``ids`` (one column ``id``) limits the students before the payments are
-    summed; ``few`` says that they are a handful and can be broadcast.
+    summed; ``few`` says how many there are at most, and they are broadcast if
+    that is few enough.
     """
     students, payments, courses = led.students, led.payments, led.courses
     if ids is not None:
         want = ids.select(F.col("id").alias("_want"))
-        want = F.broadcast(want) if few else want
+        want = want if few is None else counted_small(want, few)
         students = students.join(want, F.col("id") == F.col("_want"), "left_semi")
         payments = payments.join(want, F.col("student_id") == F.col("_want"), "left_semi")
-    if few:
-        courses = matching(courses, "id", F.broadcast(students), "course_id")
+    if few is not None:
+        courses = matching(courses, "id", counted_small(students, few), "course_id")
     return with_course(with_paid(students, payments), courses).select(
         "id",
         F.col("student_id").alias("sid"),
@@ -227,20 +228,20 @@ def account_balances(led: Ledger, ids: DataFrame | None = None, few: bool = Fals
     )
 
 
-def _balances_of_few(led: Ledger, students: DataFrame) -> DataFrame:
-    return account_balances(led, durable(students.select("id")), few=True)
+def _balances_of_few(led: Ledger, students: DataFrame, n: int) -> DataFrame:
+    return account_balances(led, durable(students.select("id")), few=n)
 
 
 def recent_students(led: Ledger, n: int = 5) -> DataFrame:
     """Balances of the n newest active students (highest id)."""
     newest = led.students.where(F.col("is_active")).orderBy(F.col("id").desc()).limit(n)
-    return _balances_of_few(led, newest).orderBy(F.col("id").desc())
+    return _balances_of_few(led, newest, n).orderBy(F.col("id").desc())
 
 
 def quick_search(led: Ledger, term: str) -> DataFrame:
     """The best match (highest id) for a number or full-name search; active or not."""
     hit = search_students(led.students, term, "quick").orderBy(F.col("id").desc()).limit(1)
-    return _balances_of_few(led, hit)
+    return _balances_of_few(led, hit, 1)
 
 
 def payment_form(led: Ledger, ids: DataFrame) -> DataFrame:

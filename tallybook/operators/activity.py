@@ -18,7 +18,7 @@ def recent_activity(led: Ledger, n: int = 10) -> DataFrame:
     """Newest entries of known users, with the role the user has now."""
     u = led.users.select(F.col("id").alias("_uid"), F.col("name").alias("user_name"), F.col("role").alias("_now"))
 
-    def enrich(rows: DataFrame) -> DataFrame:
+    def enrich(rows: DataFrame, small) -> DataFrame:
         return rows.join(u, rows["user_id"] == u["_uid"], "inner")
 
     return newest_after_join(led.logs, newest_first(), n, enrich).select(

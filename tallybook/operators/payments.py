@@ -13,7 +13,7 @@ from tallybook.functions.status import status_expr
 from tallybook.functions.text import full_name, method_label
 from tallybook.ledger import Ledger
 from tallybook.operators.paging import newest_first
-from tallybook.plans.newest import matching, newest_after_join
+from tallybook.plans.newest import counted_small, matching, newest_after_join
 from tallybook.plans.ordered import HOT_ROWS, Running, running_values
 from tallybook.plans.skew import one_per_key
 from tallybook.plans.totals import zero, paid_by_student, with_course
@@ -165,10 +165,11 @@ def payment_history(led: Ledger) -> DataFrame:
 def _enrich_few(led: Ledger, courses: str):
     """Looks up students, courses and totals of a few payments only."""
 
-    def enrich(few: DataFrame) -> DataFrame:
+    def enrich(few: DataFrame, small) -> DataFrame:
         theirs = matching(led.payments, "student_id", few, "student_id")
-        students = matching(led.students, "id", few, "student_id")
-        lines = payment_lines(led.with_tables(payments=few, students=students), courses)
+        students = small(matching(led.students, "id", few, "student_id"))
+        taken = matching(led.courses, "id", students, "course_id")
+        lines = payment_lines(led.with_tables(payments=few, students=students, courses=taken), courses)
         return _with_last_status(lines, paid_by_student(theirs, _last_paid()))
 
     return enrich
@@ -179,7 +180,7 @@ def payment_history_page(led: Ledger, page: int = 1, per_page: int = 25) -> Data
     rows = newest_after_join(
         led.payments, newest_first(), per_page, _enrich_few(led, "left"), skip=(page - 1) * per_page
     )
-    users = matching(led.users, "id", F.broadcast(rows), "collected_by")
+    users = matching(led.users, "id", counted_small(rows, per_page), "collected_by")
     return _history_columns(rows, users).orderBy(*newest_first())
 
 
@@ -200,7 +201,7 @@ def recent_payments(led: Ledger, n: int = 5) -> DataFrame:
     who = led.students.select(F.col("id").alias("_sid"), full_name().alias("student_name"))
     by = led.users.select(F.col("id").alias("_uid"), F.col("name").alias("cashier_name"))
 
-    def enrich(p: DataFrame) -> DataFrame:
+    def enrich(p: DataFrame, small) -> DataFrame:
         rows = p.join(who, p["student_id"] == who["_sid"], "inner")
         return rows.join(matching(by, "_uid", p, "collected_by"), F.col("collected_by") == F.col("_uid"), "inner")
 

@@ -6,6 +6,7 @@ local session without that setting (tests, benchmark) gets a folder of its own.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     in_use = sc.getCheckpointDir()
     if in_use:
         return in_use
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     own = tempfile.mkdtemp(prefix="tallybook-")
     sc.setCheckpointDir(own)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, secret_scan, simhash, suffix_dedup
+from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, pii, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(probe))
 
 
+#: A key for demonstration; in production it is a secret of whoever runs the job.
+PSEUDONYM_KEY = "not a secret"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
 
@@ -65,6 +73,7 @@ QUERIES = {
         op6_suffix_dedup,
         op7_decontaminate,
         op8_chat_format,
+        op9_pii,
         op10_simhash,
     )
 }

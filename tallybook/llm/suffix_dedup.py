@@ -20,7 +20,7 @@ anchors.  Consecutive windows with one anchor form a segment.
 
 Defined results: a null or empty text, or one shorter than ``length``, loses nothing.  A
 null ``doc_id`` comes after all others.  Rows that repeat a doc_id with another text are
-ordered by a hash of the text; full repeats are one document and keep what it keeps.
+ordered by a hash of the text (of 32 bits); full repeats are one document and keep what it keeps.
 Only ``doc_id`` and ``text`` are read.
 """
 
@@ -40,10 +40,11 @@ CHUNK = 1 << 18
 LONGEST_RUN = 1024
 LAST_ID = (1 << 63) - 1
 
-MARKS = "anchor long, salt int, repeated boolean, id long, text_hash long, start int, count int"
-FLAGGED = "anchor long, id long, text_hash long, start int, count int"
-SEGMENTS = "anchor long, id long, text_hash long, start int, count int, segment binary"
-RUNS = "id long, text_hash long, start int, count int"
+COUNT_BITS = 12
+MARKS = "anchor long, salt int, repeated boolean, id long, text_hash int, place long"
+FLAGGED = "anchor long, id long, text_hash int, place long"
+SEGMENTS = "anchor long, id long, text_hash int, start int, count int, segment binary"
+RUNS = "id long, text_hash int, start int, count int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -123,15 +124,16 @@ def _mark(length: int):
             lead[first] = True
             salt = np.where(lead, 0, 1 + np.arange(len(anchor)) % 1000)
             ids, hashes = (batch.column(c).to_numpy()[owner] for c in ("id", "text_hash"))
-            yield _batch(MARKS, [anchor, salt, (times[back] > 1) | (twice > 0), ids, hashes, start, count])
+            yield _batch(MARKS, [anchor, salt, (times[back] > 1) | (twice > 0), ids, hashes, start << COUNT_BITS | count])
 
     return run
 
 
 def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if held is None:
+    batches = list(batches)
+    if not batches:
         return
+    held = pa.Table.from_batches(batches)
     column = {c: held[c].to_numpy() for c in held.column_names if c != "repeated"}
     repeated = np.array(held["repeated"])
     _, back, times = np.unique(column["anchor"][column["salt"] == 0], return_inverse=True, return_counts=True)
@@ -155,20 +157,32 @@ class _Distinct:
             self.runs.append(max(known, place))
 
 
+def _joined(runs: list[tuple]) -> list[tuple]:
+    """Runs (id, text_hash, start, count) with those that touch joined."""
+    out: list[tuple] = []
+    for doc, text_hash, start, count in sorted(runs):
+        if out and out[-1][:2] == (doc, text_hash) and start <= out[-1][2] + out[-1][3]:
+            known = out[-1]
+            out[-1] = (doc, text_hash, known[2], max(known[3], start + count - known[2]))
+        else:
+            out.append((doc, text_hash, start, count))
+    return out
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distinct = _Distinct()
-            found = batch.column("found")
-            rows = zip(batch.column("text").cast(pa.binary()), found, batch.column("id").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)
-            for text, places, doc, text_hash in rows:
+            rows = (batch.column("text").cast(pa.binary()), batch.column("found"), batch.column("id").to_pylist(), batch.column("text_hash").to_pylist())
+            for text, places, doc, text_hash in zip(*rows, strict=True):
                 data = text.as_py()
-                parts = (places.values.field(c).to_pylist() for c in ("start", "count", "anchor"))
-                for start, count, anchor in zip(*parts, strict=True):
-                    distinct.add(data[start : start + count + length - 1], (doc, text_hash, start, count, anchor))
+                anchor, place = (places.values.field(c).to_numpy() for c in ("anchor", "place"))
+                starts, counts = place >> COUNT_BITS, place & (1 << COUNT_BITS) - 1
+                for start, count, key in zip(starts.tolist(), counts.tolist(), anchor.tolist(), strict=True):
+                    distinct.add(data[start : start + count + length - 1], (doc, text_hash, start, count, key))
             lead = [(p[4], *p[:4], s) for s, p in distinct.first.items()]
             # what needs no comparison any more is spread by its place
-            rest = [(hash(p[:3]), *p[:4], None) for p in distinct.runs]
+            rest = [(hash(p[:3]), *p, None) for p in _joined([p[:4] for p in distinct.runs])]
             if lead or rest:
                 yield _batch(SEGMENTS, list(zip(*lead, *rest, strict=True)))
 
@@ -269,6 +283,7 @@ def _compare(length: int):
             rest = batch.filter(pa.compute.invert(direct)).to_pydict()
             for anchor, doc, text_hash, start, count, segment in zip(*(rest[c.split()[0]] for c in SEGMENTS.split(", ")), strict=True):
                 distinct.add(segment, (doc, text_hash, start, count, anchor))
+            del rest
         found = [p[:4] for p in distinct.runs]
         documents = {d: i for i, d in enumerate(sorted({p[:2] for p in distinct.first.values()}))}
         rows = sorted(distinct.first.items(), key=lambda item: item[1][4])
@@ -286,7 +301,7 @@ def _compare(length: int):
                     found += ((p[0], p[1], p[2] + a, b - a) for a, b in edges.reshape(-1, 2).tolist())
                 block, held = [], 0
         if found:
-            yield _batch(RUNS, list(zip(*found, strict=True)))
+            yield _batch(RUNS, list(zip(*_joined(found), strict=True)))
 
     return run
 
@@ -319,18 +334,17 @@ def _finish(length: int, with_text: bool):
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of every row."""
+    # one shuffle of the texts serves both joins, so both take all of its columns
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64("text").alias("text_hash"),
+        F.hash("text").alias("text_hash"),
         F.col("text").alias("text"),
     )
-    texts = rows.drop("doc_id")
-    marks = texts.mapInArrow(_mark(length), MARKS).repartition("anchor", "salt")
+    marks = rows.drop("doc_id").mapInArrow(_mark(length), MARKS).repartition("anchor", "salt")
     flagged = marks.mapInArrow(_flag, FLAGGED)
-    per_text = flagged.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "count", "anchor")).alias("found"))
-    cut = rows.join(per_text, ["id", "text_hash"]).select("id", "text_hash", "text", "found").mapInArrow(_cut(length), SEGMENTS)
+    per_text = flagged.groupBy("id", "text_hash").agg(F.collect_set(F.struct("anchor", "place")).alias("found"))
+    cut = rows.join(per_text, ["id", "text_hash"]).mapInArrow(_cut(length), SEGMENTS)
     runs = cut.repartition("anchor").mapInArrow(_compare(length), RUNS)
     runs = runs.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
-    answer = rows.join(runs, ["id", "text_hash"], "left").select("doc_id", "text", "runs")
-    return answer.mapInArrow(_finish(length, with_text), RESULT)
+    return rows.join(runs, ["id", "text_hash"], "left").mapInArrow(_finish(length, with_text), RESULT)

@@ -112,11 +112,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
         .select("item_id", F.col("words").alias("window_words"), "rarest.hash", "rarest.size", "rarest.offset")
     )
 
-    # the words around each place; a window that holds the place lies within them
+    # the words around each place; a window that holds the place lies within them.
+    # One plan at every size: the texts are shuffled once, however small the other side is
     around = window - 1
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", count.alias("n_words"))
     same = texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["text_hash"] == found["text_hash"])
-    met = texts.join(found, same, "left").select(texts["doc_id"], texts["text_hash"], "n_words", "found", F.when(F.col("found").isNotNull(), words(F.col("text"))).alias("words"))
+    met = texts.join(found.hint("merge"), same, "left").select(texts["doc_id"], texts["text_hash"], "n_words", "found", F.when(F.col("found").isNotNull(), words(F.col("text"))).alias("words"))
     first = lambda f: F.greatest(F.lit(0), f["place"] - around)
     hits = F.transform(
         "found",
@@ -168,4 +169,4 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     bad = contamination(docs, benchmark, **how).where("n_hit > 0")
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
     same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad.hint("merge"), same, "left_anti")

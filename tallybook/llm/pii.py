@@ -41,7 +41,7 @@ KINDS = {
     "date": r"(?<![0-9/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![0-9/-]|\.[0-9])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9])|(?<![0-9+])\+\d{1,3}[ .-]?\d{10}(?![0-9])",
-    "card": r"(?<![0-9])\d(?:[ -]?\d){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9])",
 }
 ANY = "|".join(KINDS.values())
 DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")
@@ -68,6 +68,11 @@ def _permuted(x: Column, y: Column, a: Column, b: Column, key: str, kind: str, b
     return F.aggregate(steps, F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), round_)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -89,14 +94,18 @@ def _written_as(m: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), at), "")
 
 
+def _rewritten(m: Column, digits: Column) -> Column:
+    return _let(digits, lambda d: _written_as(m, d))
+
+
 def _halves(digits: Column, n: Column, key: str, kind: str, back: bool) -> Column:
     """The number permuted among all of ``n`` digits."""
     k = F.floor(n / 2).cast("int")
     rest = (n - k).cast("int")
     x = digits.substr(F.lit(1), k).cast("long")
     y = digits.substr(k + 1, rest).cast("long")
-    p = _permuted(x, y, _power(k), _power(rest), key, kind, back)
-    return F.concat(_pad(p["x"], k), _pad(p["y"], rest))
+    new = _permuted(x, y, _power(k), _power(rest), key, kind, back)
+    return _let(new, lambda p: F.concat(_pad(p["x"], k), _pad(p["y"], rest)))
 
 
 def _check_digit(body: Column) -> Column:
@@ -114,35 +123,41 @@ def _card(m: Column, key: str, back: bool) -> Column:
     digits = _digits(m)
     size = F.length(digits) - 1
     valid = _check_digit(digits.substr(F.lit(1), size)) == digits.substr(size + 1, F.lit(1))
-    body = _halves(digits, size, key, "card", back)
-    return F.when(valid, _written_as(m, F.concat(body, _check_digit(body)))).otherwise(m)
+    whole = _let(_halves(digits, size, key, "card", back), lambda body: F.concat(body, _check_digit(body)))
+    return F.when(valid, _rewritten(m, whole)).otherwise(m)
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
     digits = _digits(m)
     country = F.length(digits) - 10
     new = _halves(digits.substr(country + 1, F.lit(10)), F.lit(10), key, "phone", back)
-    return _written_as(m, F.concat(digits.substr(F.lit(1), country), new))
+    return _rewritten(m, F.concat(digits.substr(F.lit(1), country), new))
 
 
 def _ssn(m: Column, key: str, back: bool) -> Column:
     area, group, serial = (m.substr(a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
-    p = _permuted(place * GROUPS + group - 1, serial - 1, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, "ssn", back)
-    new_area = F.floor(p["x"] / GROUPS) + 1
-    new_area = new_area + F.when(new_area > 665, 1).otherwise(0)
-    new = F.concat_ws("-", _pad(new_area, 3), _pad(p["x"] % GROUPS + 1, 2), _pad(p["y"] + 1, 4))
-    return F.when(valid, new).otherwise(m)
+    new = _permuted(place * GROUPS + group - 1, serial - 1, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, "ssn", back)
+
+    def write(p: Column) -> Column:
+        new_area = F.floor(p["x"] / GROUPS) + 1
+        new_area = new_area + F.when(new_area > 665, 1).otherwise(0)
+        return F.concat_ws("-", _pad(new_area, 3), _pad(p["x"] % GROUPS + 1, 2), _pad(p["y"] + 1, 4))
+
+    return F.when(valid, _let(new, write)).otherwise(m)
 
 
 def _ip(m: Column, key: str, back: bool) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     valid = ~F.exists(parts, lambda x: x > 255)
     x, y = parts[0] * 256 + parts[1], parts[2] * 256 + parts[3]
-    p = _permuted(x, y, F.lit(65536), F.lit(65536), key, "ip", back)
-    new = F.concat_ws(".", *(f.cast("string") for v in (p["x"], p["y"]) for f in (F.floor(v / 256), v % 256)))
-    return F.when(valid, new).otherwise(m)
+    new = _permuted(x, y, F.lit(65536), F.lit(65536), key, "ip", back)
+
+    def write(p: Column) -> Column:
+        return F.concat_ws(".", *(f.cast("string") for v in (p["x"], p["y"]) for f in (F.floor(v / 256), v % 256)))
+
+    return F.when(valid, _let(new, write)).otherwise(m)
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
@@ -151,8 +166,8 @@ def _date(m: Column, key: str, back: bool) -> Column:
         day = F.try_to_timestamp(m, F.lit(form)).cast("date")
         n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
         a, b = DAY_PARTS
-        p = _permuted(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, "date", back)
-        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * b + p["y"]).cast("int")), form)
+        place = _let(_permuted(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, "date", back), lambda p: p["x"] * b + p["y"])  # noqa: B023
+        new = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), place.cast("int")), form)
         fits = F.length(m) == len(form)
         fits &= m.substr(5 if form[0] == "y" else 3, 1) == form[4 if form[0] == "y" else 2]
         out = F.coalesce(out, F.when(fits & n.between(0, DAYS - 1), new))

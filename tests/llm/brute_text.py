@@ -89,3 +89,8 @@ def hit_places(text, found):
 
 def holds(text, found):
     return bool(hit_places(text, found)[1])
+
+
+def luhn(digits: str) -> bool:
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0

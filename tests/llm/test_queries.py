@@ -97,6 +97,29 @@ def test_chat_format(spark):
         assert got[conv].formatted_chars > sum(len(t) for _, t in turns)
 
 
+def test_pii(spark, docs):
+    """Planted values go, and equal ones become equal ones; the rest of the text stays."""
+    got = answers(spark, "op9_pii")
+    forms = {
+        "email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+        "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}",
+        "card": r"(?<!\d)\d{16}(?!\d)",
+        "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
+    }
+    for kind, form in forms.items():
+        known = {}
+        for doc_id, text, _ in docs:
+            before, after = re.findall(form, text or ""), re.findall(form, got[doc_id].text or "")
+            assert len(before) == len(after)
+            real = [kind != "card" or brute_text.luhn(a) for a in before]
+            for a, b, private in zip(before, after, real, strict=True):
+                assert (a != b) == private and known.setdefault(a, b) == b
+            assert getattr(got[doc_id], f"n_{kind}") == sum(real)
+        assert len(set(known.values())) == len(known)
+    every = "|".join(forms.values())
+    assert all(re.split(every, t or "") == re.split(every, got[d].text or "") for d, t, _ in docs)
+
+
 def test_simhash(spark, docs):
     got = answers(spark, "op10_simhash")
     for doc_id, (print_, component) in brute_text.near_groups([(d, t or "") for d, t, _ in docs], 3, 2).items():

@@ -2,6 +2,7 @@
 
 import functools
 import random
+import re
 from collections import Counter
 
 import brute_text
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallybook.llm import automaton, bpe, chat, decontaminate, exact_dedup, html_text, langid, secret_scan, simhash, suffix_dedup
+from tallybook.llm import automaton, bpe, chat, decontaminate, exact_dedup, html_text, langid, pii, secret_scan, simhash, suffix_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -119,6 +120,14 @@ def test_near_groups_edges(docs, nothing):
     assert simhash.near_groups(nothing).count() == simhash.near_kept(nothing).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 19])
+def test_fingerprints_do_not_depend_on_pieces(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    for _, text, *_ in cases.documents():
+        text = (text or "")[:3000]
+        assert simhash.fingerprint(text.encode(), 3) == brute_text.print_of(text, 3)
+
+
 @pytest.mark.parametrize("tile", [3, 50])
 def test_links_and_components_are_exact(spark, tile):
     rng = random.Random(tile)
@@ -190,6 +199,13 @@ def test_encoding_is_that_of_the_library(encoder, text):
     assert encoder.decode(ids) == text.encode()
 
 
+def test_long_texts_are_split_one_match_at_a_time(encoder, monkeypatch):
+    text = cases.words(3, 300) + "  \n 12 été"
+    whole = encoder.encode(text)
+    monkeypatch.setattr(bpe, "LONG_CHARS", 10)
+    assert encoder.encode(text) == whole
+
+
 def test_prefix_store_appends_and_edits(encoder):
     rng = random.Random(4)
     for _ in range(60):
@@ -367,3 +383,60 @@ def test_pipeline_edges(spark, nothing, tmp_path):
             assert docs.columns == start.columns, name
         left = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()}
         assert left == (set() if start is nothing else {None, 4, 7, 11, 12, 13, 14} | ({5} & left))
+
+
+# personal data
+
+
+PRIVATE = [
+    "mail Bob.Smith+x@mail.example.com, then bob.smith+x@MAIL.example.com",
+    "call +1 (555) 123-4567 or +1 5551234567, card 4111111111111111",
+    "4111-1111-1111-1111 5500 0000 0000 0004 4111111111111112",
+    "ssn 123-45-6789 and 000-12-3456, 666-12-3456, 899-99-9999",
+    "ip 10.0.255.1 300.1.1.1 1.2.3.4.5",
+    "on 1999-12-31 or 31.12.1999, 12/31/1999, 2001-02-30, 1699-12-31",
+    None,
+    "",
+    "no digits",
+    "+3 (804) 294-3850 4944339490429605 12 ende",
+    "été 4944339490429605 " * 500,
+]
+
+
+def test_pseudonyms_stay_in_their_format(spark):
+    rows = [(i, t, "own") for i, t in enumerate(PRIVATE)] + [(None, PRIVATE[1], "own"), (1, PRIVATE[1], "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, finds string")
+    new = pii.pseudonyms(docs, "key")
+    got = {r.doc_id: r for r in new.collect()}
+    assert new.count() == len(rows) and got[None].text == got[1].text
+    assert [(f.kind, f.value) for f in got[5].finds] == [("date", d) for d in ("1999-12-31", "31.12.1999", "12/31/1999")]
+    assert got[6].text is None and got[7].text == "" and got[8].text == "no digits"
+    assert "300.1.1.1 1.2.3.4.5" in got[4].text and "000-12-3456, 666-12-3456" in got[3].text
+    assert got[2].text.endswith(" 4111111111111112")
+    values = {}
+    for r in got.values():
+        for f in r.finds:
+            assert f.value != f.pseudonym and f.value not in r.text
+            if f.kind != "email":
+                assert len(f.value) == len(f.pseudonym) or f.kind == "ip"
+                assert re.sub(r"\d", "9", f.value) == re.sub(r"\d", "9", f.pseudonym) or f.kind == "ip"
+            plain = [re.sub(r"\D", "", v) if f.kind in ("card", "phone") else v.lower() for v in (f.value, f.pseudonym)]
+            assert values.setdefault((f.kind, plain[0]), plain[1]) == plain[1]
+            assert f.kind != "card" or brute_text.luhn(plain[1])
+    day = {f.pseudonym[:4] + f.pseudonym[5:7] + f.pseudonym[8:] if f.pseudonym[4] == "-" else None for f in got[5].finds}
+    assert len(day - {None}) == 1
+    back = {r.doc_id: r.text for r in pii.restore(new.select("doc_id", "text"), "key").collect()}
+    assert all(back[i] == t for i, t in enumerate(PRIVATE) if i != 0)
+    other = {r.doc_id: r.text for r in pii.pseudonyms(docs, "other").collect()}
+    assert other[1] != got[1].text
+    assert pii.report(pii.pseudonyms(docs.limit(0), "key")).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonyms(docs, "")
+
+
+def test_networks_are_permutations(spark):
+    pairs = spark.range(7 * 11).select((F.col("id") % 7).alias("x"), F.floor(F.col("id") / 7).alias("y"))
+    new = pairs.select("x", "y", pii._permuted(F.col("x"), F.col("y"), F.lit(7), F.lit(11), "k", "t", False).alias("p"))
+    back = pii._permuted(F.col("p.x"), F.col("p.y"), F.lit(7), F.lit(11), "k", "t", True)
+    rows = new.select("*", back.alias("q")).collect()
+    assert len({tuple(r.p) for r in rows}) == 77 and all(tuple(r.q) == (r.x, r.y) for r in rows)

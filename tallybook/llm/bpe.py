@@ -29,6 +29,7 @@ from .common import broadcast
 
 MEMO_PIECES = 400_000
 MEMO_CHARS = 40
+LONG_CHARS = 1 << 20
 TOKENS = "doc_id long, ids array<int>"
 TEXTS = "doc_id long, text binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -204,7 +205,11 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for piece in regex.findall(self.pattern, text):
+        if len(text) <= LONG_CHARS:
+            pieces = regex.findall(self.pattern, text)
+        else:  # one at a time
+            pieces = (match[0] for match in regex.finditer(self.pattern, text))
+        for piece in pieces:
             ids += self._memo.get(piece) or self.piece(piece)
         return ids
 

@@ -21,6 +21,7 @@ id.  Repeated rows are answered one by one.  Other columns may have any name.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,25 +33,38 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SEED = 42
-PIECE = 1 << 16
+PIECE = 1 << 19
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 PARTS = 4
 LINKS = "a long, b long"
 
 
+def _word_runs(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, about PIECE bytes at a time."""
+    start = 0
+    while start < len(data):
+        gap = WHITE.search(data, start + PIECE)
+        stop = gap.start() if gap else len(data)
+        yield data[start:stop].split()  # of bytes: splits at [\x20\x09-\x0D]
+        start = stop
+
+
 def fingerprint(data: bytes, size: int) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes; A-Z count as a-z."""
-    words = data.lower().split()  # of bytes: splits at [\x20\x09-\x0D] and lowers A-Z only
-    if not words:
-        return 0
-    if len(words) < size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    ones = np.zeros(64, np.int64)
-    count = len(words) - size + 1
-    for start in range(0, count, PIECE):
-        stop = min(count, start + PIECE)
-        shingles = map(b" ".join, zip(*(words[start + i : stop + i] for i in range(size)), strict=True))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, stop - start)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones, count = np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for run in _word_runs(data.lower()):  # of bytes: lowers A-Z only
+        words += run
+        fresh = len(words) - size + 1
+        if fresh > 0:
+            shingles = map(b" ".join, zip(*(words[i : fresh + i] for i in range(size)), strict=True))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, fresh)
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+            count += fresh
+            words = words[fresh:]
+    if not count:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
@@ -193,4 +207,4 @@ def near_kept(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is that of their component, with all their columns."""
     kept = near_groups(docs, size, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

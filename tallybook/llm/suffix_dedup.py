@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 32
+GRAM = 24
 BLOCK = 1 << 17
 CHUNK = 1 << 18
 LONGEST_RUN = 1024

@@ -11,7 +11,11 @@ anchors.  Consecutive windows with one anchor form a segment.
    its segment is left out.  Anchors repeated in a batch send one row to the count.
 2. The remaining segments are cut out of the texts.  Of equal segments in a batch one
    goes on; the others repeat it whole.
-3. Segments of one anchor meet in a task, in blocks of about ``BLOCK`` bytes.  A block's
+   An anchor of more than ``HOT`` segments would fill a task: its segments go on window by
+   window, dealt by a hash of the whole window, and equal windows are compared as they are.
+   The hot anchors are known by ``HOT_BITS`` bits, so others may go with them; as all windows
+   of an anchor go the same way, the result does not depend on it.
+3. Segments of the other anchors meet by anchor in a task, in blocks of about ``BLOCK`` bytes.  A block's
    suffixes are sorted by at least ``length`` symbols, and from the Burrows-Wheeler
    transform the common prefixes of neighbours are derived by breadth-first backward
    extension: intervals of strings of l + 1 bytes end where the common prefix is l.  It
@@ -31,18 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 GRAM = 24
 BLOCK = 1 << 17
 CHUNK = 1 << 18
 LONGEST_RUN = 1024
 LAST_ID = (1 << 63) - 1
+HOT = 1024
+HOT_BITS = 18
 
 COUNT_BITS = 12
-MARKS = "anchor long, salt int, repeated boolean, id long, text_hash int, place long"
-FLAGGED = "anchor long, id long, text_hash int, place long"
+MARKS = "anchor long, salt int, weight int, id long, text_hash int, place long"
+FLAGGED = "anchor long, id long, text_hash int, place long, kinds int"
 SEGMENTS = "anchor long, id long, text_hash int, start int, count int, segment binary"
 RUNS = "id long, text_hash int, start int, count int"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -74,7 +83,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Anchor, text number, start and number of windows of each segment, and whether its anchor occurs twice in it."""
+    """Anchor, text number, start and number of windows of each segment, whether its anchor occurs twice in it, and a hash of all of it."""
     found: list[tuple[np.ndarray, ...]] = []
     group: list[int] = []
     held = 0
@@ -99,7 +108,8 @@ def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
             first = np.cumsum(grams) - grams
             each = np.arange(grams.sum()) + np.repeat(starts - first, grams)
             times = np.add.reduceat(mixed[each] == np.repeat(least[starts], grams), first, dtype=np.int64) if len(first) else first
-            found.append((least[starts], np.array(group)[owner[starts]], place[starts], ends - starts, times > 1))
+            whole = np.add.reduceat(mixed[each], first, dtype=np.int64) if len(first) else first
+            found.append((least[starts], np.array(group)[owner[starts]], place[starts], ends - starts, times > 1, whole))
         group, held = [], 0
 
     for number, text in enumerate(texts):
@@ -110,7 +120,7 @@ def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
                 settle()
     settle()
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -118,13 +128,16 @@ def _mark(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-            anchor, owner, start, count, twice = segments_of(texts, length)
+            anchor, owner, start, count, twice, whole = segments_of(texts, length)
             _, first, back, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
             lead = np.zeros(len(anchor), bool)
             lead[first] = True
             salt = np.where(lead, 0, 1 + np.arange(len(anchor)) % 1000)
+            # how many different segments the anchor has in the batch, at its first one; and whether it repeats
+            kinds = np.bincount(back[np.unique(whole, return_index=True)[1]], minlength=len(first))
+            weight = np.where(lead, kinds[back], 0) << 1 | (times[back] > 1) | (twice > 0)
             ids, hashes = (batch.column(c).to_numpy()[owner] for c in ("id", "text_hash"))
-            yield _batch(MARKS, [anchor, salt, (times[back] > 1) | (twice > 0), ids, hashes, start << COUNT_BITS | count])
+            yield _batch(MARKS, [anchor, salt, weight, ids, hashes, start << COUNT_BITS | count])
 
     return run
 
@@ -134,10 +147,13 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     held = pa.Table.from_batches(batches)
-    column = {c: held[c].to_numpy() for c in held.column_names if c != "repeated"}
-    repeated = np.array(held["repeated"])
-    _, back, times = np.unique(column["anchor"][column["salt"] == 0], return_inverse=True, return_counts=True)
-    repeated[column["salt"] == 0] |= times[back] > 1
+    column = {c: held[c].to_numpy() for c in held.column_names }
+    repeated = column["weight"] & 1 > 0
+    lead = column["salt"] == 0
+    _, back, times = np.unique(column["anchor"][lead], return_inverse=True, return_counts=True)
+    repeated[lead] |= times[back] > 1
+    column["kinds"] = np.zeros(held.num_rows, np.int64)  # segments of the anchor, equal ones of a batch counted once
+    column["kinds"][lead] = np.bincount(back, column["weight"][lead] >> 1)[back]
     yield _batch(FLAGGED, [column[c.split()[0]][repeated] for c in FLAGGED.split(", ")])
 
 
@@ -172,17 +188,23 @@ def _joined(runs: list[tuple]) -> list[tuple]:
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distinct = _Distinct()
+            distinct, hot, windows = _Distinct(), _Distinct(), _Distinct()
             rows = (batch.column("text").cast(pa.binary()), batch.column("found"), batch.column("id").to_pylist(), batch.column("text_hash").to_pylist())
             for text, places, doc, text_hash in zip(*rows, strict=True):
                 data = text.as_py()
-                anchor, place = (places.values.field(c).to_numpy() for c in ("anchor", "place"))
+                anchor, place, spread = (places.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "place", "hot"))
                 starts, counts = place >> COUNT_BITS, place & (1 << COUNT_BITS) - 1
-                for start, count, key in zip(starts.tolist(), counts.tolist(), anchor.tolist(), strict=True):
-                    distinct.add(data[start : start + count + length - 1], (doc, text_hash, start, count, key))
+                for start, count, key, by_window in zip(starts.tolist(), counts.tolist(), anchor.tolist(), spread.tolist(), strict=True):
+                    to = hot if by_window else distinct
+                    to.add(data[start : start + count + length - 1], (doc, text_hash, start, count, key))
+            for segment, (doc, text_hash, start, count, _) in hot.first.items():
+                for i in range(count):
+                    windows.add(segment[i : i + length], (doc, text_hash, start + i, 1))
             lead = [(p[4], *p[:4], s) for s, p in distinct.first.items()]
+            # a count of 0 tells a window of a hot anchor
+            lead += [(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64), *p[:3], 0, w) for w, p in windows.first.items()]
             # what needs no comparison any more is spread by its place
-            rest = [(hash(p[:3]), *p, None) for p in _joined([p[:4] for p in distinct.runs])]
+            rest = [(hash(p[:3]), *p, None) for p in _joined([p[:4] for d in (distinct, hot, windows) for p in d.runs])]
             if lead or rest:
                 yield _batch(SEGMENTS, list(zip(*lead, *rest, strict=True)))
 
@@ -276,15 +298,18 @@ def repeats_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarra
 
 def _compare(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct = _Distinct()
+        distinct, windows = _Distinct(), _Distinct()
         for batch in batches:
             direct = batch.column("segment").is_null()
             yield batch.filter(direct).select([c.split()[0] for c in RUNS.split(", ")])
             rest = batch.filter(pa.compute.invert(direct)).to_pydict()
             for anchor, doc, text_hash, start, count, segment in zip(*(rest[c.split()[0]] for c in SEGMENTS.split(", ")), strict=True):
-                distinct.add(segment, (doc, text_hash, start, count, anchor))
+                if count:
+                    distinct.add(segment, (doc, text_hash, start, count, anchor))
+                else:
+                    windows.add(segment, (doc, text_hash, start, 1))
             del rest
-        found = [p[:4] for p in distinct.runs]
+        found = [p[:4] for d in (distinct, windows) for p in d.runs]
         documents = {d: i for i, d in enumerate(sorted({p[:2] for p in distinct.first.values()}))}
         rows = sorted(distinct.first.items(), key=lambda item: item[1][4])
         block: list[tuple[bytes, tuple]] = []
@@ -332,19 +357,31 @@ def _finish(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of every row."""
-    # one shuffle of the texts serves both joins, so both take all of its columns
-    rows = docs.select(
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
         F.hash("text").alias("text_hash"),
         F.col("text").alias("text"),
     )
+
+
+def pieces(rows: DataFrame, length: int, hot: int) -> DataFrame:
+    """What has to be compared, by ``anchor``: segments, windows of anchors with more than ``hot`` segments, known runs."""
     marks = rows.drop("doc_id").mapInArrow(_mark(length), MARKS).repartition("anchor", "salt")
-    flagged = marks.mapInArrow(_flag, FLAGGED)
-    per_text = flagged.groupBy("id", "text_hash").agg(F.collect_set(F.struct("anchor", "place")).alias("found"))
-    cut = rows.join(per_text, ["id", "text_hash"]).mapInArrow(_cut(length), SEGMENTS)
-    runs = cut.repartition("anchor").mapInArrow(_compare(length), RUNS)
+    flagged = stored(marks.mapInArrow(_flag, FLAGGED), "suffix-flagged")
+    bucket = F.col("anchor").bitwiseAND((1 << HOT_BITS) - 1).cast("int")
+    buckets = flagged.where(F.col("kinds") > hot).select(bucket.alias("bucket")).distinct()  # at most 2 ** HOT_BITS rows
+    flagged = flagged.join(F.broadcast(buckets), bucket == F.col("bucket"), "left")
+    place = F.struct("anchor", "place", F.col("bucket").isNotNull().alias("hot"))
+    per_text = flagged.groupBy("id", "text_hash").agg(F.collect_set(place).alias("found"))
+    return rows.join(per_text, ["id", "text_hash"]).mapInArrow(_cut(length), SEGMENTS)
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of every row."""
+    # one shuffle of the texts serves both joins, so both take all of its columns
+    rows = _rows(docs)
+    runs = pieces(rows, length, hot).repartition("anchor").mapInArrow(_compare(length), RUNS)
     runs = runs.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
     return rows.join(runs, ["id", "text_hash"], "left").mapInArrow(_finish(length, with_text), RESULT)

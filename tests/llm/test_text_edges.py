@@ -173,6 +173,20 @@ def test_repeats_of_edges(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_a_common_line_with_other_neighbours_is_spread(spark, docs):
+    """No key takes a piece of every document, and removal does not depend on which anchors count as hot."""
+    line = "a line of more than twenty-four and fewer than a hundred bytes"
+    rows = [(i, f"{cases.words(2 * i, 20)} {line} {cases.words(2 * i + 1, 20)}") for i in range(200)]
+    rows += [(i + 200, rows[i][1][60:]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = suffix_dedup.pieces(suffix_dedup._rows(frame), 100, 20).where("segment is not null").groupBy("anchor").count()
+    assert keys.agg(F.max("count")).first()[0] <= 20
+    expected = brute_text.repeats([(d, t.encode()) for d, t in rows], 100)
+    for r in suffix_dedup.remove_repeats(frame, hot=20).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id]
+    assert of(suffix_dedup.remove_repeats(docs, hot=0)) == of(suffix_dedup.remove_repeats(docs))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab", min_size=3, max_size=40), min_size=1, max_size=8), st.integers(3, 9))
 def test_intervals_find_all_late_windows(texts, length):

@@ -371,6 +371,19 @@ def test_pages_without_structure_lose_what_their_host_repeats(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_a_common_byline_with_other_words_is_spread(spark):
+    """No (host, anchor) takes a segment of every page, and the texts do not depend on which ones count as hot."""
+    rows = [(i, f"http://h.example/{i}", f"<div>{cases.words(2 * i, 12)} © h.example {cases.words(2 * i + 1, 12)}</div>") for i in range(200)]
+    rows += [(i + 200, "http://h.example/x", rows[i][2].replace("<div>", "<div>more ")) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    parsed = pages.selectExpr("page_id", "page_id page_hash", "url", "html").mapInArrow(html_text._parse, html_text.PARSED)
+    keys = html_text.segments_of(parsed, 8, 20).where("tokens is not null").groupBy("host", "anchor").count()
+    assert keys.agg(F.max("count")).first()[0] <= 20
+    plain = of(html_text.main_text(pages, hot=10**9))
+    assert of(html_text.main_text(pages, hot=20)) == of(html_text.main_text(pages, hot=0)) == plain
+    assert sum(r[4] > 0 for r in plain) == 6
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=3, max_size=20), min_size=1, max_size=6))
 def test_repeated_windows_are_those_on_distinct_pages(segments):

@@ -333,6 +333,24 @@ def test_rewriting_templates_are_told():
     assert [p.rewrites for p in chat.rendered(turns, merging, None, 64)] == [False, False, True]
 
 
+def test_templates_that_look_far_back_are_told_by_default(spark):
+    """Numbering goes on past a block, and a cut to the last 100 turns is told."""
+    rows = [(1, i, "user", str(i)) for i in range(130)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = [r[2:] for r in rows]
+
+    def numbered(turns):
+        return "".join(f"{i}. {text}\n" for i, (_, text) in enumerate(turns))
+
+    def last(turns):
+        return "".join(f"<{text}>" for _, text in turns[-100:])
+
+    pieces = sorted(chat.format_turns(frame, numbered).collect(), key=lambda p: p.position)
+    assert "".join(p.piece for p in pieces) == numbered(turns) and not any(p.rewrites for p in pieces)
+    pieces = sorted(chat.format_turns(frame, last).collect(), key=lambda p: p.position)
+    assert [p.rewrites for p in pieces] == [i >= 100 for i in range(130)]
+
+
 def test_turns_with_nulls(spark):
     rows = [(1, 1, "assistant", None), (1, 0, None, "x"), (None, None, "user", "y"), (1, 1, "assistant", None), (2, 5, "assistant", "</s>")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))

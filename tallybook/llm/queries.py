@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, pii, secret_scan, simhash, suffix_dedup
+from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, packing, pii, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES = {
         op8_chat_format,
         op9_pii,
         op10_simhash,
+        op11_best_fit_packing,
     )
 }
 

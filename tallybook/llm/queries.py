@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, packing, pii, secret_scan, simhash, suffix_dedup
+from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, negatives, packing, pii, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), anchor_every=100, positives=5, negatives=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES = {
         op9_pii,
         op10_simhash,
         op11_best_fit_packing,
+        op12_hard_negatives,
     )
 }
 
@@ -126,4 +131,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op3_exact_dedup": EXACT_DEDUP_SQL, "op7_decontaminate": DECONTAMINATE_SQL}
+HARD_NEGATIVES_SQL = r"""
+WITH r AS (
+    SELECT row_number() OVER () AS rid, vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), a AS (
+    SELECT rid AS a_rid, vec_id AS anchor_id, label AS a_label, q AS a_q FROM r WHERE vec_id % 100 = 0
+), s AS (
+    SELECT a_rid, anchor_id, a_label, rid, vec_id, label,
+           CAST(coalesce(list_sum(list_transform(range(1, greatest(len(a_q), len(q)) + 1),
+                                                 lambda i: coalesce(a_q[i], 0) * coalesce(q[i], 0))), 0) AS BIGINT) AS score
+    FROM a CROSS JOIN r
+), p AS (
+    SELECT a_rid, anchor_id, rid AS p_rid, vec_id AS positive_id, score AS positive_score
+    FROM s WHERE label = a_label AND rid <> a_rid
+    QUALIFY row_number() OVER (PARTITION BY a_rid ORDER BY score DESC, vec_id NULLS LAST, rid) <= 5
+), n AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.a_rid, p.p_rid ORDER BY s.score DESC, s.vec_id NULLS LAST, s.rid) AS rank
+    FROM p JOIN s ON s.a_rid = p.a_rid AND s.label <> s.a_label
+     AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n
+"""
+
+ORACLES = {"op3_exact_dedup": EXACT_DEDUP_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}

@@ -45,6 +45,8 @@ from .common import broadcast, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALTS = 64
+#: Characters encoded at once; an encoding of the library holds some 100 bytes a token.
+SLICE_CHARS = 1 << 20
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -69,15 +71,25 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(shared.value)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for doc_id, encoding in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_batch(texts, add_special_tokens=False)):
-                for piece, start, length, crc in cut([*encoding.ids, end_id], capacity):
-                    for k, v in zip(out, (doc_id, piece, start, length, crc)):
-                        out[k].append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            # an encoding keeps offsets and token strings too: encode a bounded number of characters at once
+            start = 0
+            while start < len(texts):
+                stop, chars = start, 0
+                while stop < len(texts) and (stop == start or chars + len(texts[stop] or "") <= SLICE_CHARS):
+                    chars += len(texts[stop] or "")
+                    stop += 1
+                out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
+                encodings = tokenizer.encode_batch([t or "" for t in texts[start:stop]], add_special_tokens=False)
+                for doc_id, encoding in zip(ids[start:stop], encodings):
+                    for row in cut([*encoding.ids, end_id], capacity):
+                        for k, v in zip(out, (doc_id, *row)):
+                            out[k].append(v)
+                del encodings
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
+                start = stop
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, negatives, packing, pii, secret_scan, simhash, suffix_dedup
+from . import bpe, chat, decontaminate, exact_dedup, html_text, langid, negatives, packing, pii, prefix_trie, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"), anchor_every=100, positives=5, negatives=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), base=100, shared=6)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +89,7 @@ QUERIES = {
         op10_simhash,
         op11_best_fit_packing,
         op12_hard_negatives,
+        op13_prefix_trie,
     )
 }
 

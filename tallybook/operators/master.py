@@ -31,29 +31,34 @@ def upsert_master(
     toggles after it.  The report says inserted, updated, unchanged or missing
     (changes of a key that neither exists nor is inserted).
 
-    Each key's changes are reduced by partial aggregation, never listed; running
-    counts of toggles come from the ordered scan that splits hot keys.
+    Each key's changes are reduced by partial aggregation, never listed or
+    sorted: first the last set of each key (a maximum of ``seq``), then, with it
+    joined to the changes, the toggles above it are counted beside the seq of
+    each column's last write, and the values are fetched by those seqs.  Both summaries merge in any order, so a key with a third of all
+    changes is reduced inside every task before anything moves.  ``hot_rows``
+    and ``blocks`` are kept for callers; the reduction no longer needs them.
     """
     values = [c for c in changes.columns if c in current.columns and c not in (key, "is_active", "updated_at")]
     action, seq = F.col("action"), F.col("seq")
     sets = action.isin("insert", "activate", "deactivate")
-    toggled = Running("_toggled", "sum", F.when(action == "toggle", 1).otherwise(0))
-    rows = running_values(changes, [key], [seq.asc()], [toggled], hot_rows, blocks)
+    last_set = changes.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(sets, seq)).alias("_last_set"))
+    # one row per key: the build side of a hash join, its own shuffle so that the adaptive skew join can split hot keys
+    rows = changes.join(one_per_key(last_set, "_key").hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_key")))
     writes = action.isin("insert", "update")
-
-    def last_value(c: str) -> Column:
-        return F.max_by(F.col(c), F.when(writes & F.col(c).isNotNull(), seq)).alias(f"_new_{c}")
-
-    # flips after the last set: all of them less those up to it
-    before = F.coalesce(F.max_by("_toggled", F.when(sets, seq)), F.lit(0))
-    net = rows.groupBy(F.col(key).alias("_key")).agg(
+    after_last_set = F.col("_last_set").isNull() | (seq > F.col("_last_set"))
+    # fixed-width summaries only, so that they aggregate in hash tables: the last set with its state in
+    # the lowest bit, and the seq of each column's last write, whose value is fetched by that unique seq
+    net = rows.groupBy("_key").agg(
         F.bool_or(action == "insert").alias("_insert"),
-        F.max_by(action != "deactivate", F.when(sets, seq)).alias("_state"),
-        (F.count_if(action == "toggle") - before).alias("_flips"),
-        *[last_value(c) for c in values],
-    )
+        F.max(F.when(sets, seq * 2 + (action != "deactivate").cast("long"))).alias("_set"),
+        F.count_if((action == "toggle") & after_last_set).alias("_flips"),
+        *[F.max(F.when(writes & F.col(c).isNotNull(), seq)).alias(f"_at_{c}") for c in values],
+    ).withColumn("_state", F.col("_set") % 2 == 1)
+    for c in values:
+        written = changes.select(seq.alias(f"_seq_{c}"), F.col(c).alias(f"_new_{c}")).hint("shuffle_hash")
+        net = net.join(written, F.col(f"_at_{c}") == F.col(f"_seq_{c}"), "left").drop(f"_at_{c}", f"_seq_{c}")
     had = current.withColumn("_had", F.lit(True))
-    both = had.join(net, F.col(key) == F.col("_key"), "full_outer")
+    both = had.join(net.hint("shuffle_hash"), F.col(key) == F.col("_key"), "full_outer")
     exists, changed_key = F.col("_had").isNotNull(), F.col("_key").isNotNull()
     state = F.coalesce("_state", "is_active")
     state = F.when(F.col("_flips") % 2 == 1, ~state).otherwise(state)

@@ -73,3 +73,11 @@ def test_one_per_key_lets_a_hot_key_be_split(spark):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_changes_are_reduced_without_window_or_sort(no_broadcast):
+    """OP-44: the changes of a key merge by partial aggregation; nothing orders or windows them."""
+    for name in ("upsert_courses", "upsert_courses_report"):
+        text = plan(contract.queries()[name](no_broadcast, SF_DIR))
+        assert "Window" not in text and not re.search(r"\bSort \[", text), name
+        assert "HashAggregate" in text

@@ -18,7 +18,10 @@ in rounds, all at once within a round:
   stays if all of them fit in the gap; the rest wait.  Ranks come from counts
   per (length, salt), so a length held by a third of all pieces is numbered by
   many tasks, and no bin ever holds more than ``capacity`` candidates.
-* Gaps shrink by what they took, and the next round sweeps again.
+* Gaps shrink by what they took, and the next round sweeps again.  A piece
+  that lost its best-fit gap ``TRIES`` times joins those that open new
+  sequences, as best fit does when larger pieces took every gap that fits;
+  this bounds the rounds where many short pieces seek few gaps.
 
 Every round places at least the first piece of each chosen size, and a bin takes
 as many equal pieces in one round as fit; the state of a round (open pieces and
@@ -45,6 +48,8 @@ from .common import broadcast, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SALTS = 64
+#: Rounds a piece seeks an old gap before it opens a sequence (more: closer to best fit, more rounds).
+TRIES = 8
 #: Characters encoded at once; an encoding of the library holds some 100 bytes a token.
 SLICE_CHARS = 1 << 20
 
@@ -95,35 +100,45 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     return rows.mapInArrow(run, PIECES)
 
 
-def _numbered(df: DataFrame, size: str, order: str, salts: int) -> DataFrame:
+def _numbered(df: DataFrame, size: list[str], order: str, salts: int) -> DataFrame:
     """``df`` with ``_k``, its place from 0 among rows of its ``size``, larger sizes of its class first.
 
     Counts per (size, salt) give each salt's start, so no group holds more than
     its share of a hot size.  ``_before`` (rows of larger sizes in the class) must be present.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    counts = salted.groupBy(size, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(size).orderBy("_salt")) - F.col("_n"))
-    within = F.row_number().over(Window.partitionBy(size, "_salt").orderBy(order)) - 1
+    counts = salted.groupBy(*size, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*size).orderBy("_salt")) - F.col("_n"))
+    within = F.row_number().over(Window.partitionBy(*size, "_salt").orderBy(order)) - 1
     return (
-        salted.join(F.broadcast(counts.drop("_n")), [size, "_salt"])  # at most capacity x salts rows
+        salted.join(F.broadcast(counts.drop("_n")), [*size, "_salt"])  # at most 2 x capacity x salts rows
         .withColumn("_k", F.col("_before") + F.col("_ahead") + within)
         .drop("_salt", "_ahead")
     )
 
 
 def _classes(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
-    """Per length of an open piece: its best-fit gap size ``_g`` (``capacity`` for a new sequence),
-    the bins of that size ``_c``, pieces of larger lengths in the class ``_before`` and the most
-    candidates a bin can hold ``_slots``.  At most ``capacity`` rows."""
+    """Per length of an open piece, and whether it lost a gap before: its best-fit gap size ``_g``
+    (``capacity`` for a new sequence), the bins of that size ``_c``, pieces of larger lengths in the
+    class ``_before`` and the most candidates a bin can hold ``_slots``.  At most 2 x ``capacity`` rows.
+
+    ``lost``: the piece lost the gaps it chose ``TRIES`` times and goes to a new sequence."""
     lengths = todo.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))
+    lost = todo.groupBy("length", "lost").agg(F.count(F.lit(1)).alias("_m"))
     sizes = gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("_c"))
     both = lengths.select(F.col("length").alias("_v"), F.lit(0).alias("_kind"), "_n", F.lit(None).cast("long").alias("_c")).unionByName(
         sizes.select(F.col("gap").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_n"), "_c")
     )
     after = Window.orderBy("_v", "_kind").rowsBetween(0, Window.unboundedFollowing)  # at most 2 x capacity rows
     swept = both.withColumn("_g", F.min(F.when(F.col("_kind") == 1, F.col("_v"))).over(after)).where("_kind = 0").drop("_c")
-    swept = swept.join(sizes.withColumnRenamed("gap", "_g"), "_g", "left")
+    swept = swept.join(sizes.withColumnRenamed("gap", "_g"), "_g", "left").drop("_n")
+    swept = lost.join(swept.withColumnRenamed("_v", "length"), "length").select(
+        F.col("length").alias("_v"),
+        "lost",
+        F.col("_m").alias("_n"),
+        F.when(~F.col("lost"), F.col("_g")).alias("_g"),
+        F.when(~F.col("lost"), F.col("_c")).alias("_c"),
+    )
     # Pieces above half a sequence never share one with each other: while such pieces find no gap,
     # each opens its own and the shorter ones wait for the gaps they leave.  Otherwise the pieces
     # without a gap open as many sequences as their total needs at least.
@@ -135,6 +150,7 @@ def _classes(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     )
     classes = swept.select(
         F.col("_v").alias("length"),
+        "lost",
         "_n",
         F.coalesce("_g", F.lit(capacity)).alias("_g"),
         F.when(unfit, new_bins).otherwise(F.col("_c")).cast("long").alias("_c"),
@@ -143,45 +159,52 @@ def _classes(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     by_class = Window.partitionBy("_g")
     return classes.select(
         "length",
+        "lost",
         "_g",
         "_c",
-        (F.sum("_n").over(by_class.orderBy(F.desc("length"))) - F.col("_n")).alias("_before"),
+        (F.sum("_n").over(by_class.orderBy(F.desc("length"), "lost").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
         F.floor(F.col("_g") / F.min("length").over(by_class)).alias("_slots"),
     )
 
 
-def _round(todo: DataFrame, gaps: DataFrame, capacity: int, salts: int) -> DataFrame:
-    """The pieces placed in one round: pid, length, sequence_id, offset, gap (before the round)."""
+def _round(todo: DataFrame, gaps: DataFrame, capacity: int, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(the pieces placed in one round: pid, length, sequence_id, offset, gap before the round;
+    the classes of all open pieces: pid, length, lost, _g, null where a piece waits)."""
+    todo = todo.withColumn("lost", F.col("tries") >= TRIES)
     classes = _classes(todo, gaps, capacity)
-    ranked = _numbered(todo.join(F.broadcast(classes), "length"), "length", "pid", salts)
+    classed = todo.join(F.broadcast(classes), ["length", "lost"], "left")
+    ranked = _numbered(classed.where(F.col("_g").isNotNull()), ["_g", "length", "lost"], "pid", salts)
     ranked = ranked.withColumns({"_bin": F.col("_k") % F.col("_c"), "_slot": F.floor(F.col("_k") / F.col("_c"))})
     ranked = ranked.where(F.col("_slot") < F.col("_slots"))
     in_bin = Window.partitionBy("_g", "_bin").orderBy("_slot")
     ranked = ranked.withColumns({"_end": F.sum("length").over(in_bin), "_opener": F.first("pid").over(in_bin)})
     taken = ranked.where(F.col("_end") <= F.col("_g"))
-    numbered_gaps = _numbered(gaps.withColumn("_before", F.lit(0).cast("long")), "gap", "sequence_id", salts).withColumnRenamed("_k", "_j")
+    numbered_gaps = _numbered(gaps.withColumn("_before", F.lit(0).cast("long")), ["gap"], "sequence_id", salts).withColumnRenamed("_k", "_j")
     old = taken.join(numbered_gaps, (F.col("_g") == F.col("gap")) & (F.col("_bin") == F.col("_j")))
     old = old.select("pid", "length", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("_end") - F.col("length")).alias("offset"), "gap")
     # gaps are below ``capacity``: a sequence holds a piece at least
     new = taken.where(F.col("_g") == capacity).select("pid", "length", F.col("_opener").alias("sequence_id"), (F.col("_end") - F.col("length")).alias("offset"), F.lit(capacity).cast("long").alias("gap"))
-    return old.unionByName(new)
+    return old.unionByName(new), classed.select("pid", "length", "tries", "_g")
 
 
 def best_fit(items: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
     """pid, sequence_id and offset of every item (pid unique, 1 <= length <= capacity)."""
     spark = items.sparkSession
     full = items.where(F.col("length") == capacity).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo = stored(items.where(F.col("length") < capacity).select("pid", "length"), "pack-todo")
+    todo = stored(items.where(F.col("length") < capacity).select("pid", "length", F.lit(0).alias("tries")), "pack-todo")
     gaps = spark.createDataFrame([], "sequence_id long, gap long")
     placed = [full]
     while not todo.isEmpty():
-        taken = stored(_round(todo, gaps, capacity, salts), "pack-taken")
+        taken, classed = _round(todo, gaps, capacity, salts)
+        taken = stored(taken, "pack-taken")
         placed.append(taken.select("pid", "sequence_id", "offset"))
         used = taken.groupBy("sequence_id").agg(F.first("gap").alias("gap"), F.sum("length").alias("_used"))
         grown = used.select("sequence_id", (F.col("gap") - F.col("_used")).alias("gap"))
         kept = gaps.join(used.select("sequence_id"), "sequence_id", "left_anti")
         gaps = stored(kept.unionByName(grown).where("gap > 0"), "pack-gaps")
-        todo = stored(todo.join(taken.select("pid"), "pid", "left_anti"), "pack-todo")
+        left = classed.join(taken.select("pid"), "pid", "left_anti")
+        lost = F.coalesce(F.col("_g") < capacity, F.lit(False)).cast("int")  # waiting pieces lost nothing
+        todo = stored(left.select("pid", "length", (F.col("tries") + lost).alias("tries")), "pack-todo")
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)

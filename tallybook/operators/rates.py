@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,17 +143,26 @@ def compose_blocks(functions: Sequence[tuple[np.ndarray, np.ndarray]], gap: int)
     return _distinct(np.concatenate(entries), np.concatenate(leaves))
 
 
-def allowed_in_block(times: np.ndarray, last: int | None, gap: int) -> np.ndarray:
-    """Flags for the sorted times of one block; of equal times the first row is taken."""
-    flags = np.zeros(len(times), dtype=bool)
-    i = 0 if last is None else int(np.searchsorted(times, last + gap, "left"))
-    while i < len(times):
-        flags[i] = True
-        i = int(np.searchsorted(times, times[i] + gap, "left"))
-    return flags
+def decide_in_order(first: Sequence[bool], times: Sequence[int], starts: Sequence[int | None], last: int | None, gap: int):
+    """Flags of rows in the order of (group, time), and the last allowed time; a group starts anew from its ``starts``.
+
+    A loop over the rows: groups are often short, and a batch holds thousands of them.
+    """
+    flags = []
+    for new, at, start in zip(first, times, starts, strict=True):
+        if new:
+            last = start
+        allowed = last is None or at >= last + gap
+        if allowed:
+            last = at
+        flags.append(allowed)
+    return flags, last
 
 
 def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks: int, fan_in: int, columns):
+    """Only a key that lies in several blocks needs their functions: a cut between blocks parts at most one key,
+    so these are fewer than the blocks.  The others start without a clock.
+    """
     gap = min_gap // timedelta(microseconds=1)
     kind = cut.schema[key].dataType
     function = T.StructType(
@@ -194,14 +204,17 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
                 last = int(after_blocks(np.array([last]), [(entry, leave)], gap)[0])
         return pd.DataFrame({"_key": group[0], "node": nodes, "last": pd.array(before, dtype="Int64")})
 
-    def decide(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_row", ignore_index=True)
-        start = pdf["_last"].iloc[0]
-        flags = allowed_in_block(pdf["_at"].to_numpy(), None if pd.isna(start) else int(start), gap)
-        return pd.DataFrame({"_row": pdf["_row"], "allowed": flags})
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            flags, last = decide_in_order(*(batch.column(c).to_pylist() for c in ("_first", "_at", "_last")), last, gap)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(flags, pa.bool_())], ["_row", "allowed"])
 
     at = _micros(F.col(ts), cut.schema[ts].dataType).alias("_at")
-    leaves = cut.select(F.col(key).alias("_key"), F.col(BLOCK).alias("node"), at)
+    span = cut.groupBy(F.col(key).alias("_parted")).agg(F.min(BLOCK).alias("_from"), F.max(BLOCK).alias("_to"))
+    parted = F.broadcast(span.where("_from < _to").select("_parted"))
+    leaves = cut.join(parted, F.col(key).eqNullSafe(F.col("_parted")), "left_semi")
+    leaves = leaves.select(F.col(key).alias("_key"), F.col(BLOCK).alias("node"), at)
     levels = [durable(leaves.groupBy("_key", "node").applyInPandas(of_block, function))]
     n = blocks
     parent = F.floor(F.col("node") / F.lit(fan_in)).cast("long")
@@ -222,8 +235,11 @@ def _throttle_hot(cut: DataFrame, key: str, ts: str, min_gap: timedelta, blocks:
     c = clocks.select(F.col("_key").alias("_k"), F.col("node").alias("_n"), F.col("last").alias("_last"))
     # only places and times go through Python; the flags come back by place
     lean = cut.select(F.col(key).alias("_key"), F.col(BLOCK).alias("_node"), F.col(POS).alias("_row"), at)
-    placed = lean.join(c, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_node") == F.col("_n")), "inner")
-    flags = placed.groupBy("_k", "_n").applyInPandas(decide, "_row long, allowed boolean")
+    placed = lean.join(F.broadcast(c), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_node") == F.col("_n")), "left")
+    # the window deals and sorts the rows by (key, block, place); Python reads them in that order
+    first = F.row_number().over(Window.partitionBy("_key", "_node").orderBy("_row")) == 1
+    ordered = placed.select("_row", "_at", "_last", first.alias("_first"))
+    flags = ordered.mapInArrow(decide, "_row long, allowed boolean")
     return cut.join(flags, F.col(POS) == F.col("_row"), "inner").select(*columns, "allowed")
 
 

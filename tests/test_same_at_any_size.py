@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal as D
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,26 @@ def test_a_hot_student_leaves_before_the_join(spark):
     assert split.cold.where("student_id = 1").count() == 0 and split.hot.count() == 201
     got = admit_against(incoming, accounts, ("id",), 100, 4)
     assert got.where(F.col("student_id") == 1).count() == 201 and got.count() == 600
+
+
+def test_throttle_composes_only_keys_that_blocks_part(spark, monkeypatch):
+    """A thousand keys above the limit: block functions are made for those that a cut parts, fewer than the blocks."""
+    from tallybook.operators import rates
+
+    made = []
+
+    def counted(df):
+        out = durable(df)
+        if "entry" in out.columns:
+            made.append(out.select("_key").distinct().count())
+        return out
+
+    durable = rates.durable
+    monkeypatch.setattr(rates, "durable", counted)
+    rng = random.Random(5)
+    rows = [(k or None, T0 + timedelta(seconds=rng.randrange(60)), k * 8 + i) for k in range(1000) for i in range(8)]
+    events = spark.createDataFrame(rows, "k long, ts timestamp_ntz, id long")
+    gap = timedelta(seconds=9)
+    got = throttle(events, "k", "ts", "id", gap, fold_rows=5, blocks=6, fan_in=2).collect()
+    assert {r.id: r.allowed for r in got} == brute.throttle([(k or 0, ts, i) for k, ts, i in rows], gap)
+    assert made and max(made) <= 5

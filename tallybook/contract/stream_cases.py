@@ -13,7 +13,7 @@ from tallybook.contract.write_cases import ADMISSION_WITH, no_payments
 from tallybook.sources.fixtures import SOURCES, as_ledger_table, driver_path, driver_schema
 from tallybook.streaming.jobs import admit_stream, match_stream, revenue_stream, throttle_stream
 from tallybook.plans.durable import fresh_path
-from tallybook.streaming.tables import instant, parquet_stream, run_to_end
+from tallybook.streaming.tables import count_files, instant, parquet_stream, run_to_end
 from tallybook.streaming.windows import (
     running_activity,
     running_collections,
@@ -32,20 +32,29 @@ def ledger_stream(x: Inputs, table: str) -> DataFrame:
     return as_ledger_table(raw_stream(x, SOURCES[table]), table)
 
 
-def in_files(x: Inputs, name: str, ts: str, parts: int = 3) -> DataFrame:
-    """A driver table as a stream of several files, one per micro-batch.
+FILE_ROWS = 1_000_000
 
-    Files follow the time of the rows, but every third row comes up to an hour late.
+
+def in_files(x: Inputs, name: str, ts: str, parts: int = 3, file_rows: int = FILE_ROWS) -> DataFrame:
+    """A driver table as a stream of ``parts`` micro-batches.
+
+    They follow the time of the rows, but every third row comes up to an hour late.
+    A part is written as equally many files as the others and read at once: files of
+    one part that came in different micro-batches would be days late.
     """
     raw = x.raw(name)
     path = fresh_path(x.spark, f"files-{name}")
     at = F.unix_seconds(instant(F.col(ts)))
-    low, high = raw.agg(F.min(at), F.max(at)).first()
+    low, high, rows = raw.agg(F.min(at), F.max(at), F.count("*")).first()
+    files = max(1, -(-rows // (parts * file_rows)))
     arrival = at + F.when(F.pmod(F.hash(*raw.columns), F.lit(3)) == 0, 3600).otherwise(0)
     part = F.least(F.lit(parts - 1), F.floor((arrival - F.lit(low)) / F.lit(max(1, (high - low) // parts + 1))))
     for number in range(parts):
-        raw.where(F.coalesce(part, F.lit(0)) == number).write.mode("append").parquet(path)
-    return parquet_stream(x.spark, path, raw.schema, 1)
+        of_part = raw.where(F.coalesce(part, F.lit(0)) == number)
+        of_part.repartition(files, *raw.columns).write.mode("append").parquet(path)
+        for _ in range(files * (number + 1) - count_files(x.spark, path)):  # no file was written for no rows
+            x.spark.createDataFrame([], raw.schema).coalesce(1).write.mode("append").parquet(path)
+    return parquet_stream(x.spark, path, raw.schema, files)
 
 
 # windows that the final watermark (latest event minus the delay) has passed

@@ -21,6 +21,12 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """The Parquet files in a folder."""
+    fs, folder = _hadoop(spark, path)
+    return sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(folder))
+
+
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None):
     """A folder of files as a stream; a single file is read through its folder."""
     reader = spark.readStream.schema(schema)

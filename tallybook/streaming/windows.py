@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
+from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.streaming.tables import instant, run_updates, wall_time
@@ -30,6 +32,10 @@ def stream_collections(
     )
 
 
+def _micros(spark: SparkSession, text: str) -> int:
+    return spark.sql(f"select interval {text}").first()[0] // timedelta(microseconds=1)
+
+
 def stream_activity(
     logs: DataFrame, size: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes", approximate: bool = False
 ) -> DataFrame:
@@ -65,13 +71,28 @@ def running_activity(
 ) -> DataFrame:
     """:func:`stream_activity` as it stands now, the last hour included.
 
-    The stream keeps entries per (window, user); windows are summed up when they are read.
+    The stream keeps entries per (pane, user), until the last window of the pane is
+    ``late``; windows are summed up when they are read.  A user counts in a window with
+    the first pane that lies in it, that is in the windows that begin after the user's
+    pane before.
     """
-    rows = logs.withColumn("at", instant(F.col("created_at"))).withWatermark("at", late)
-    per_user = rows.groupBy(F.window("at", size, slide).alias("span"), "user_id").agg(F.count("*").alias("n"))
-    per_user = per_user.select(wall_time(F.col("span.start")).alias("window_start"), "user_id", "n")
-    now = run_updates(per_user, ["window_start", "user_id"], "activity", path)
-    return now.groupBy("window_start").agg(F.sum("n").alias("log_count"), F.count("user_id").alias("unique_users"))
+    spark = logs.sparkSession
+    length, step = _micros(spark, size), _micros(spark, slide)
+    grid = gcd(length, step)
+    wait = _micros(spark, late) + length - grid
+    rows = logs.withColumn("at", instant(F.col("created_at"))).withWatermark("at", f"{wait} microseconds")
+    per_user = rows.groupBy(F.window("at", f"{grid} microseconds").alias("span"), "user_id").agg(F.count("*").alias("n"))
+    per_user = per_user.select(F.unix_micros("span.start").alias("pane"), "user_id", "n")
+    now = run_updates(per_user, ["pane", "user_id"], "activity", path)
+    earlier = F.lag("pane").over(Window.partitionBy("user_id").orderBy("pane"))
+    before = F.greatest(F.coalesce(earlier, F.col("pane") - length), F.col("pane") - length)
+    sums = now.withColumn("before", before).groupBy("pane", "before").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"))
+    last = F.col("pane") - F.pmod(F.col("pane"), F.lit(step))
+    first = F.col("pane") - length + step - F.pmod(F.col("pane") - length, F.lit(step))
+    begun = sums.select(F.explode(F.sequence(first, last, F.lit(step))).alias("start"), "before", "n", "users")
+    new = F.when(F.col("start") > F.col("before"), F.col("users")).otherwise(0)
+    counts = begun.groupBy("start").agg(F.sum("n").alias("log_count"), F.sum(new).alias("unique_users"))
+    return counts.select(wall_time(F.timestamp_micros("start")).alias("window_start"), "log_count", "unique_users")
 
 
 def stream_valid_attempts(

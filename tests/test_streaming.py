@@ -6,14 +6,17 @@ from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 from tallybook import Ledger
+from tallybook.contract.registry import Inputs
+from tallybook.contract.stream_cases import in_files
 from tallybook.streaming.jobs import admit_stream, match_stream, revenue_stream, throttle_stream
 from tallybook.operators.rates import throttle
 from tallybook.streaming.order import late_rows
 from tallybook.streaming.tables import instant, parquet_stream, run_to_end, wall_time
-from tallybook.streaming.windows import running_collections, stream_activity, stream_collections
+from tallybook.streaming.windows import running_activity, running_collections, stream_activity, stream_collections
 
 T0 = datetime(2024, 1, 1)
 PAYMENT = "student_id long, created_at timestamp_ntz, id long, amount_paid decimal(12,2), payment_method string, payment_date date, collected_by long"
@@ -162,6 +165,62 @@ def test_activity_windows_exact_and_approximate(spark, tmp_path):
     assert {r.window_start: r.log_count for r in b.collect()}[T0 + timedelta(hours=1)] == 60
 
 
+def test_a_part_of_many_files_is_one_batch(spark, tmp_path):
+    """A table of several input partitions loses no row to the watermark, also where parts have fewer rows than files."""
+    rows = [(i, T0 + timedelta(minutes=i * 7), i % 9, "click", 1.0, "") for i in range(1000)] + [(1000, T0 + timedelta(days=60), 1, "click", 1.0, "")]
+    rows = [rows[i * 7 % len(rows)] for i in range(len(rows))]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    for file_rows in (1_000_000, 100):
+        events = in_files(Inputs(spark, str(tmp_path)), "events", "ts", file_rows=file_rows)
+        logs = events.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
+        got = running_activity(logs, late="2 hours", path=str(tmp_path / str(file_rows)))
+        want = activity([(r[0], r[2], r[1]) for r in rows], 3600, 300)
+        assert {r.window_start: (r.log_count, r.unique_users) for r in got.collect()} == want
+
+
+ACTIVITY = "id long, user_id long, created_at timestamp_ntz"
+
+
+def activity(rows, size, slide):
+    """window_start -> entries and distinct users; times and lengths in seconds."""
+    found = {}
+    for _, user, at in rows:
+        seconds = int((at - T0).total_seconds())
+        start = seconds - seconds % slide
+        while start > seconds - size:
+            found.setdefault(T0 + timedelta(seconds=start), []).append(user)
+            start -= slide
+    return {w: (len(users), len(set(users) - {None})) for w, users in found.items()}
+
+
+@pytest.mark.parametrize("size, slide", [(3600, 300), (420, 180), (600, 600)])
+def test_activity_over_many_batches(spark, tmp_path, size, slide):
+    """Users that come again in a pane, in a window, in a later batch; users that are null; windows that the slide does not divide."""
+    rng = random.Random(size)
+    path, everything = str(tmp_path / "in"), []
+    for b in range(3):
+        rows = [(b * 200 + i, rng.choice([None, *range(9)]), T0 + timedelta(seconds=b * 3000 + rng.randrange(3600))) for i in range(200)]
+        rows.append((-b, None, None))
+        everything += rows
+        feed(spark, path, rows, ACTIVITY)
+    want = activity([r for r in everything if r[2]], size, slide)
+    windows = {"size": f"{size} seconds", "slide": f"{slide} seconds", "late": "1 hour"}
+    now = running_activity(stream(spark, path, ACTIVITY), path=str(tmp_path / "now"), **windows)
+    assert {r.window_start: (r.log_count, r.unique_users) for r in now.collect()} == want
+    out = run_to_end(stream_activity(stream(spark, path, ACTIVITY), **windows), "t", str(tmp_path / "out"))
+    passed = max(r[2] for r in everything if r[2]) - timedelta(hours=1)
+    closed = {w: n for w, n in want.items() if w + timedelta(seconds=size) <= passed}
+    assert {r.window_start: (r.log_count, r.unique_users) for r in out.collect()} == closed
+
+
+def test_running_activity_keeps_one_row_per_user_and_pane(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "job")
+    feed(spark, path, [(i, i % 50, T0 + timedelta(seconds=i % 600)) for i in range(2000)], ACTIVITY)
+    running_activity(stream(spark, path, ACTIVITY), path=base)
+    assert spark.read.parquet(f"{base}/changed").count() <= 50 * 2
+
+
 def test_times_do_not_depend_on_the_session_zone(spark):
     df = spark.createDataFrame([(datetime(2024, 3, 10, 2, 30),)], "t timestamp_ntz")
     zone = spark.conf.get("spark.sql.session.timeZone")

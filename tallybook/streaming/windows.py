@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
 from math import gcd
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.streaming.tables import instant, run_updates, wall_time
 
+# functions of this module go to the workers by value: they need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_collections(
     payments: DataFrame, by: Sequence[str] = (), late: str = "1 day", size: str = "1 day", slide: str | None = None
@@ -32,30 +39,66 @@ def stream_collections(
     )
 
 
+#: Users of a window are kept in so many sets.
+USER_BUCKETS = 32
+#: Rows that a task packs at once.
+PACK_ROWS = 1_000_000
+
+
 def _micros(spark: SparkSession, text: str) -> int:
     return spark.sql(f"select interval {text}").first()[0] // timedelta(microseconds=1)
 
 
+def _pane(at: Column, grid: int) -> Column:
+    """Start of the pane, in microseconds.  Panes are so short that their rows fall into the same windows."""
+    return F.unix_micros(at) - F.pmod(F.unix_micros(at), F.lit(grid))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one pane and bucket as one: their number, users and latest time."""
+
+    def packed(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        users = ("user_id", "distinct", pc.CountOptions(mode="only_valid"))
+        rows = pa.Table.from_batches(held).group_by(["pane", "bucket"]).aggregate([("at", "max"), ("at", "count"), users])
+        return rows.select(["bucket", "at_max", "at_count", "user_id_distinct"]).rename_columns(["bucket", "at", "n", "users"]).to_batches()
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= PACK_ROWS:
+            yield from packed(held)
+            held, count = [], 0
+    if count:
+        yield from packed(held)
+
+
 def stream_activity(
     logs: DataFrame, size: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes", approximate: bool = False
 ) -> DataFrame:
     """Entries and distinct users per sliding window.
 
-    The exact form counts per (window, user) first and then per window, which
-    keeps one state row per user and window; ``approximate`` keeps one sketch
-    per window instead.
+    The exact form packs the users of a pane into arrays before the windows
+    multiply them, and keeps ``USER_BUCKETS`` lists of arrays per window instead of
+    a state row per user and window; ``approximate`` keeps one sketch per window.
     """
-    rows = logs.withColumn("at", instant(F.col("created_at"))).withWatermark("at", late)
+    rows = logs.withColumn("at", instant(F.col("created_at")))
     span = F.window("at", size, slide).alias("span")
     if approximate:
-        counts = rows.groupBy(span).agg(
+        counts = rows.withWatermark("at", late).groupBy(span).agg(
             F.count("*").alias("log_count"), F.approx_count_distinct("user_id").alias("unique_users")
         )
     else:
-        per_user = rows.groupBy(span, "user_id").agg(F.count("*").alias("n"))
-        counts = per_user.groupBy("span").agg(
-            F.sum("n").alias("log_count"), F.count("user_id").alias("unique_users")
+        spark = logs.sparkSession
+        pane = _pane(F.col("at"), gcd(_micros(spark, size), _micros(spark, slide)))
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(USER_BUCKETS)).cast("int")
+        placed = rows.where("at is not null").select("user_id", "at", pane.alias("pane"), bucket.alias("bucket"))
+        kind = rows.schema["user_id"].dataType.simpleString()
+        packs = placed.repartition("pane", "bucket").mapInArrow(_pack, f"bucket int, at timestamp, n long, users array<{kind}>")
+        parts = packs.withWatermark("at", late).groupBy(span, "bucket").agg(
+            F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("users")))).alias("users")
         )
+        counts = parts.groupBy("span").agg(F.sum("n").alias("log_count"), F.sum("users").alias("unique_users"))
     return counts.select(wall_time(F.col("span.start")).alias("window_start"), "log_count", "unique_users")
 
 

@@ -214,6 +214,13 @@ def test_activity_over_many_batches(spark, tmp_path, size, slide):
     assert {r.window_start: (r.log_count, r.unique_users) for r in out.collect()} == closed
 
 
+def test_closed_activity_keeps_no_state_per_user(spark, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path / "job")
+    feed(spark, path, [(i, i, T0) for i in range(2000)], ACTIVITY)
+    run_to_end(stream_activity(stream(spark, path, ACTIVITY)), "t", base)
+    assert 12 <= spark.read.format("statestore").option("operatorId", 1).load(f"{base}/progress").count() <= 12 * 32
+
+
 def test_running_activity_keeps_one_row_per_user_and_pane(spark, tmp_path):
     path, base = str(tmp_path / "in"), str(tmp_path / "job")
     feed(spark, path, [(i, i % 50, T0 + timedelta(seconds=i % 600)) for i in range(2000)], ACTIVITY)

@@ -5,18 +5,18 @@ A page is parsed into blocks.  Markup decides most of them: blocks inside ``arti
 reader comments are known by their elements, roles and class names.  Blocks of pages
 without ``article`` and ``main`` that no name gives away are open.
 
-The token streams of the open and the rejected blocks are compared per host: runs of
-``window`` tokens or more that occur on distinct pages of one host are boilerplate.
-Covered tokens are taken out of open blocks, and their unique runs stay.  A text inside
-``article`` is never cut, as articles that share passages must stay whole.
+The token streams of whole pages are compared per host: runs of ``window`` tokens or more
+that occur on distinct pages of one host may be boilerplate.  Covered tokens are taken out
+of open blocks, and their unique runs stay.  Then the markup is checked: what it places
+inside ``article`` or ``main`` stays, as articles that share passages must stay whole.
 
 A host may hold any share of the pages: streams are cut into segments of windows with
-one anchor (the least hash of two tokens in a row), and equal windows meet by (host,
-anchor).  Of equal segments on several pages of a batch one goes on.  Each task sorts
+one anchor (the least hash of ``GRAM`` tokens in a row), and equal windows meet by (host,
+anchor).  First only the keys of these are counted; segments are sent where a key is on
+several pages.  Of equal segments on several pages of a batch one goes on.  Each task sorts
 the suffixes of its distinct segments, in blocks of whole anchors, and finds equal windows
-of distinct pages.  A (host, anchor) of more than ``HOT`` segments, counted beforehand,
-goes on window by window, dealt by a hash of the whole window.  Hot ones are known by
-``HOT_BITS`` bits, so others may go with them, which gives the same runs.
+of distinct pages.  A key of more than ``HOT`` segments goes on window by window, dealt by
+a hash of the whole window.
 
 Defined results: a null or empty html has an empty text.  Pages with a null url or
 without a host form one host.  Rows that repeat a page in all of page_id, url and html
@@ -29,13 +29,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .suffix_dedup import suffix_order
@@ -61,15 +62,22 @@ OUTER_SIDE = frozenset("comment comments disqus reply replies respond related re
 NAME_PART = re.compile(r"[^0-9a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 HOT = 1024
-HOT_BITS = 18
 BLOCK = 1 << 17
+#: Tokens of an anchor: so many in a row are seldom alike by chance.
+GRAM = 4
 
 MAIN, OPEN, REJECTED = 0, 1, 2
-PARSED = "page_id long, page_hash long, url string, host string, zones array<int>, blocks array<string>"
-SEGMENTS = "host string, anchor long, page_id long, page_hash long, start int, count int, tokens array<long>"
+PARSED = "page_id long, page_hash long, url string, host string, zones array<int>, blocks binary"
+SEGMENTS = "host string, anchor long, page_id long, page_hash long, start int, count int, tokens binary"
+KEYS = "page_hash long, key long"
 COVERED = "page_id long, page_hash long, start int, count int"
 
 
+@lru_cache(4096)
+def _names(*given: str) -> frozenset[str]:
+    return frozenset(x.lower() for text in given for x in NAME_PART.split(text))
+
+
 class _Page(HTMLParser):
     """Blocks of a page with their zones."""
 
@@ -78,6 +86,7 @@ class _Page(HTMLParser):
         self.blocks: list[tuple[int, str]] = []
         self.open: list[tuple[str, str]] = []  # element and what it does: text, none, side, outer, main
         self.parts: list[str] = []
+        self.hidden = 0  # open elements without text
 
     def flush(self) -> None:
         if self.parts:
@@ -95,7 +104,7 @@ class _Page(HTMLParser):
         return REJECTED if {"side", "outer"} & set(kinds) else OPEN
 
     def kind(self, tag: str, attrs: dict) -> str:
-        names = {x.lower() for key in ("class", "id") for x in NAME_PART.split(attrs.get(key) or "")}
+        names = _names(attrs.get("class") or "", attrs.get("id") or "")
         if tag in NO_TEXT:
             return "none"
         if names & OUTER_SIDE and tag not in ("html", "body"):
@@ -121,7 +130,9 @@ class _Page(HTMLParser):
         if tag in ("br", "td", "th", "img", "hr"):
             self.parts.append(" ")
         if tag not in VOID:
-            self.open.append((tag, self.kind(tag, dict(attrs))))
+            kind = self.kind(tag, dict(attrs))
+            self.hidden += kind == "none"
+            self.open.append((tag, kind))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -136,6 +147,7 @@ class _Page(HTMLParser):
             name = self.open[place][0]
             if name == tag:
                 self.flush_if_block(place)
+                self.hidden -= sum(k == "none" for _, k in self.open[place:])
                 del self.open[place:]
                 return
             if name in until:
@@ -146,7 +158,7 @@ class _Page(HTMLParser):
             self.flush()
 
     def handle_data(self, data):
-        if not any(k == "none" for _, k in self.open):
+        if not self.hidden:
             self.parts.append(data)
 
 
@@ -172,42 +184,78 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, html in zip(batch.column("url"), batch.column("html"), strict=True):
             found = blocks_of(html.as_py() or "")
             zones.append([z for z, _ in found])
-            blocks.append([b for _, b in found])
+            # white space in blocks is single spaces
+            blocks.append(zlib.compress("\n".join(b for _, b in found).encode(), 1))
             hosts.append(host_of(url.as_py()))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "page_hash", "url")), pa.array(hosts, pa.string()), pa.array(zones, pa.list_(pa.int32())), pa.array(blocks, pa.list_(pa.string()))],
+            [*(batch.column(c) for c in ("page_id", "page_hash", "url")), pa.array(hosts, pa.string()), pa.array(zones, pa.list_(pa.int32())), pa.array(blocks, pa.binary())],
             ["page_id", "page_hash", "url", "host", "zones", "blocks"],
         )
 
 
-def stream(zones: list[int], blocks: list[str]) -> list[str]:
-    """The tokens that are compared within a host: of pages with a main text the rejected blocks, else all."""
-    return [t for z, b in zip(zones, blocks, strict=True) if z != MAIN for t in b.split()]
+def _unpack(zones: list[int], blocks: bytes) -> list[str]:
+    return zlib.decompress(blocks).decode().split("\n") if zones else []
+
+
+def stream(blocks: list[str]) -> list[str]:
+    """The tokens that are compared within a host: those of all blocks."""
+    return [t for b in blocks for t in b.split()]
 
 
-def _token_segments(window: int, hot: frozenset[int] = frozenset()):
-    """Segments; of the (host, anchor) in the buckets ``hot`` single windows with a count of 0."""
+def _cut(blocks: list[str], host: str, window: int):
+    """Hashes of the tokens, and start, number of windows, anchor and key of each segment; None if there is no window."""
+    tokens = [xxhash.xxh64_intdigest(t) for t in stream(blocks)]
+    if len(tokens) < window:
+        return None
+    values = np.array(tokens, np.uint64)
+    size, whole = min(GRAM, window), len(values) - window + 1
+    grams = np.zeros(len(values) - size + 1, np.uint64)
+    for step in range(size):
+        grams = (grams + values[step : step + len(grams)]) * np.uint64(0x9E3779B97F4A7C15)
+    grams ^= grams >> np.uint64(29)
+    least = np.min([grams[step : step + whole] for step in range(window - size + 1)], axis=0)
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    anchors = least[starts]
+    keys = anchors * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "replace")))
+    return values.view(np.int64), starts, np.diff(np.append(starts, len(least))), anchors.view(np.int64), keys.view(np.int64)
+
+
+def _keys(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, found = [], []
+            for host, page_hash, zones, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "page_hash", "zones", "blocks")), strict=True):
+                cut = _cut(_unpack(zones, blocks), host, window)
+                if cut:
+                    found.append(cut[4])
+                    pages.append(np.full(len(cut[4]), page_hash, np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pages)), pa.array(np.concatenate(found))], ["page_hash", "key"])
+
+    return run
+
+
+def _token_segments(window: int):
+    """Segments of the keys in ``shared``; of those in ``hot`` single windows with a count of 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             met: dict[tuple, list] = {}
-            for host, page, page_hash, zones, blocks in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "page_hash", "zones", "blocks")), strict=True):
-                tokens = [xxhash.xxh64_intdigest(t) for t in stream(zones, blocks)]
-                if len(tokens) < window:
+            columns = (batch.column(c).to_pylist() for c in ("host", "page_id", "page_hash", "zones", "blocks", "shared", "hot"))
+            for host, page, page_hash, zones, blocks, shared, hot in zip(*columns, strict=True):
+                cut = _cut(_unpack(zones, blocks), host, window)
+                if not cut:
                     continue
-                values = np.array(tokens, np.uint64)
-                pairs = (values[:-1] * np.uint64(0x9E3779B97F4A7C15) + values[1:]) * np.uint64(0xBF58476D1CE4E5B9)
-                least = np.lib.stride_tricks.sliding_window_view(pairs, window - 1).min(axis=1)
-                starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                counts = np.diff(np.append(starts, len(least)))
-                signed = values.view(np.int64)
-                for start, count, anchor in zip(starts.tolist(), counts.tolist(), least[starts].view(np.int64).tolist(), strict=True):
-                    data = signed[start : start + count + window - 1].tobytes()
-                    if hot and zlib.crc32(f"{host}|{anchor}".encode("utf-8", "replace")) & (1 << HOT_BITS) - 1 in hot:
+                values, *parts, keys = cut
+                hot = frozenset(hot)
+                sent = np.isin(keys, np.array([*shared, *hot], np.int64))
+                for start, count, anchor, key in zip(*(x[sent].tolist() for x in (*parts, keys)), strict=True):
+                    data = values[start : start + count + window - 1].tobytes()
+                    if key in hot:
                         for i in range(count):
                             part = data[8 * i : 8 * (i + window)]
-                            key = (host, xxhash.xxh64_intdigest(part) - (1 << 63), part)
-                            met.setdefault(key, []).append((page, page_hash, start + i, 0))
+                            place = (host, xxhash.xxh64_intdigest(part) - (1 << 63), part)
+                            met.setdefault(place, []).append((page, page_hash, start + i, 0))
                     else:
                         met.setdefault((host, anchor, data), []).append((page, page_hash, start, count))
             rows = []
@@ -220,10 +268,8 @@ def _token_segments(window: int, hot: frozenset[int] = frozenset()):
                 else:
                     rows += ((host, anchor, *p, data) for p in places)
             if rows:
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string(), *[pa.int64()] * 3, *[pa.int32()] * 2]
-                lists = pa.array([None if d is None else np.frombuffer(d, np.int64) for d in columns[6]], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=False)), lists], [c.split()[0] for c in SEGMENTS.split(", ")])
+                kinds = [pa.string(), *[pa.int64()] * 3, *[pa.int32()] * 2, pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SEGMENTS.split(", ")])
 
     return run
 
@@ -279,9 +325,9 @@ def _find_repeats(window: int):
                 if tokens is None:
                     found.append((page, page_hash, start, max(count, 1)))
                 elif count:
-                    met.setdefault((host, anchor, np.array(tokens, np.int64).tobytes()), []).append((page, page_hash, start, count))
+                    met.setdefault((host, anchor, tokens), []).append((page, page_hash, start, count))
                 else:
-                    windows.setdefault((host, np.array(tokens, np.int64).tobytes()), []).append((page, page_hash, start, 1))
+                    windows.setdefault((host, tokens), []).append((page, page_hash, start, 1))
         for places in windows.values():
             if len({p[:2] for p in places}) > 1:
                 found += places
@@ -303,7 +349,7 @@ def _find_repeats(window: int):
 
 def assemble(zones: list[int], blocks: list[str], runs: list[tuple[int, int]], window: int) -> tuple[str, int]:
     """The text of a page and how many of its compared tokens the repeated runs cover."""
-    covered = np.zeros(len(stream(zones, blocks)), bool)
+    covered = np.zeros(len(stream(blocks)), bool)
     for start, count in runs:
         covered[start : start + count + window - 1] = True
     if MAIN in zones:
@@ -323,7 +369,7 @@ def _assemble(window: int):
         for batch in batches:
             texts, counts = [], []
             for zones, blocks, runs in zip(*(batch.column(c).to_pylist() for c in ("zones", "blocks", "runs")), strict=True):
-                text, count = assemble(zones, blocks, [(r["start"], r["count"]) for r in runs or ()], window)
+                text, count = assemble(zones, _unpack(zones, blocks), [(r["start"], r["count"]) for r in runs or ()], window)
                 texts.append(text)
                 counts.append(count)
             yield pa.RecordBatch.from_arrays(
@@ -334,17 +380,15 @@ def _assemble(window: int):
     return run
 
 
-def hot_buckets(parsed: DataFrame, window: int, hot: int) -> frozenset[int]:
-    """Where the (host, anchor) of more than ``hot`` segments fall, equal ones of a batch counted once: at most 2 ** HOT_BITS."""
-    segments = parsed.mapInArrow(_token_segments(window), SEGMENTS).where("tokens is not null")
-    often = segments.groupBy("host", "anchor").count().where(F.col("count") > hot)
-    bucket = F.crc32(F.concat_ws("|", "host", "anchor")).bitwiseAND((1 << HOT_BITS) - 1)
-    return frozenset(r.bucket for r in often.select(bucket.alias("bucket")).distinct().collect())
-
-
 def segments_of(parsed: DataFrame, window: int, hot: int) -> DataFrame:
     """What is compared by (host, anchor), and known runs."""
-    return parsed.mapInArrow(_token_segments(window, hot_buckets(parsed, window, hot)), SEGMENTS)
+    by_key = Window.partitionBy("key")
+    keys = parsed.mapInArrow(_keys(window), KEYS).withColumns(
+        {"low": F.min("page_hash").over(by_key), "high": F.max("page_hash").over(by_key), "often": F.count("*").over(by_key) > hot}
+    )
+    lists = {name: F.collect_set(F.when(F.col("often") == often, F.col("key"))).alias(name) for name, often in (("shared", False), ("hot", True))}
+    per_page = keys.where("low <> high").groupBy(F.col("page_hash").alias("_hash")).agg(*lists.values())
+    return parsed.join(per_page, F.col("page_hash") == F.col("_hash")).mapInArrow(_token_segments(window), SEGMENTS)
 
 
 def main_text(pages: DataFrame, window: int = 8, hot: int = HOT) -> DataFrame:
@@ -352,12 +396,16 @@ def main_text(pages: DataFrame, window: int = 8, hot: int = HOT) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.xxhash64("page_id", "url", "html").alias("page_hash"), "url", "html"
     )
-    # parsed for the counts, the segments and the texts: that takes less disk than keeping it
-    parsed = rows.mapInArrow(_parse, PARSED)
+    # parsed for the keys, and once more for the segments and the texts, whose joins share a shuffle
+    # the inner join infers this filter, and with it in both the shuffles are the same
+    parsed = rows.mapInArrow(_parse, PARSED).where("page_hash is not null")
     segments = segments_of(parsed, window, hot).repartition("host", "anchor")
     covered = segments.mapInArrow(_find_repeats(window), COVERED)
     runs = covered.groupBy("page_id", "page_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
     runs = runs.withColumnsRenamed({"page_id": "_page", "page_hash": "_hash"})
-    same = parsed["page_id"].eqNullSafe(runs["_page"]) & (parsed["page_hash"] == runs["_hash"])
-    joined = parsed.join(runs, same, "left").select("page_id", "url", "zones", "blocks", "runs")
+    # the hash alone deals the rows, as in the join for the segments
+    page = F.coalesce(parsed["page_id"] == runs["_page"], parsed["page_id"].isNull() & runs["_page"].isNull())
+    same = page & (parsed["page_hash"] == runs["_hash"])
+    # with all columns, so that the pages are shuffled once for both joins
+    joined = parsed.join(runs, same, "left").select(*parsed.columns, "runs")
     return joined.mapInArrow(_assemble(window), "page_id long, url string, text string, n_chars long, n_repeated long")

@@ -389,6 +389,15 @@ def test_pages_without_structure_lose_what_their_host_repeats(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_articles_are_compared_too_and_stay_whole(spark):
+    """Runs that articles of one host share are found like those around them; the markup keeps them in the text."""
+    shared, menu = cases.words(90, 20), cases.words(91, 9)
+    rows = [(i, f"http://h.example/{i}", f"<nav>{menu}</nav><article><p>{cases.words(i, 15)}</p><p>{shared if i < 2 else cases.words(50 + i, 20)}</p></article>") for i in range(4)]
+    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i].n_repeated for i in range(4)] == [29, 29, 9, 9]
+    assert all(got[i].text == f"{cases.words(i, 15)}\n\n{shared if i < 2 else cases.words(50 + i, 20)}" for i in range(4))
+
+
 def test_a_common_byline_with_other_words_is_spread(spark):
     """No (host, anchor) takes a segment of every page, and the texts do not depend on which ones count as hot."""
     rows = [(i, f"http://h.example/{i}", f"<div>{cases.words(2 * i, 12)} © h.example {cases.words(2 * i + 1, 12)}</div>") for i in range(200)]

@@ -396,9 +396,9 @@ def main_text(pages: DataFrame, window: int = 8, hot: int = HOT) -> DataFrame:
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.xxhash64("page_id", "url", "html").alias("page_hash"), "url", "html"
     )
-    # parsed for the keys, and once more for the segments and the texts, whose joins share a shuffle
-    # the inner join infers this filter, and with it in both the shuffles are the same
-    parsed = rows.mapInArrow(_parse, PARSED).where("page_hash is not null")
+    # parsed and shuffled once for the keys, the segments and the texts; the inner join infers this filter,
+    # and with it in all three the plans are the same
+    parsed = rows.mapInArrow(_parse, PARSED).where("page_hash is not null").repartition("page_hash")
     segments = segments_of(parsed, window, hot).repartition("host", "anchor")
     covered = segments.mapInArrow(_find_repeats(window), COVERED)
     runs = covered.groupBy("page_id", "page_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))

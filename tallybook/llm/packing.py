@@ -1,31 +1,28 @@
-"""Packing token pieces into sequences by bulk-synchronous best fit.
+"""Packing token pieces into sequences by best fit, longest first, over length classes.
 
 A document's ids (its tokenizer's, then an end id) are cut only when longer than
 a sequence: into ``capacity``-token pieces, of which the first takes the rest and
 may be shorter.  Full pieces fill a sequence alone.  The other pieces are placed
-in rounds, all at once within a round:
-
-* Range-sort pieces and gaps together by size: the lengths and the gap sizes
-  are whole numbers up to ``capacity``, so each length finds its best fit, the
-  smallest gap not below it, by a successor sweep over the two size histograms
-  (at most ``capacity`` rows each, whatever the corpus).  Pieces above every gap
-  open new sequences: those over half a sequence one each, as best fit does,
-  while the shorter wait for the gaps they leave; once none is over half, the
-  rest open as many as their total needs at least.
-* Conflicts are settled by rank: the pieces that chose one gap size are ranked
-  longest first (then by a salt and their own id), and the k-th goes to gap
-  ``k mod bins`` of that size, behind the pieces ranked before it there.  It
-  stays if all of them fit in the gap; the rest wait.  Ranks come from counts
-  per (length, salt), so a length held by a third of all pieces is numbered by
-  many tasks, and no bin ever holds more than ``capacity`` candidates.
-* Gaps shrink by what they took, and the next round sweeps again.  A piece
-  that lost its best-fit gap ``TRIES`` times joins those that open new
-  sequences, as best fit does when larger pieces took every gap that fits;
-  this bounds the rounds where many short pieces seek few gaps.
-
-Every round places at least the first piece of each chosen size, and a bin takes
-as many equal pieces in one round as fit; the state of a round (open pieces and
-gaps) is written to the shared folder, so a lost executor costs one round.
+by best fit decreasing, a length class at a time:
+
+* Lengths and gap sizes are whole numbers up to ``capacity``, so all that best
+  fit asks of the corpus is the histogram of its lengths: ``capacity`` rows at
+  most, whatever the corpus.  Sequences that took the same lengths in the same
+  order are one range of numbers with one gap.
+* The classes go longest first.  Each fills the ranges of the smallest gap that is
+  not below its length, as many pieces a sequence as fit, then those of the next
+  gap; what finds no gap opens new sequences.  That is what sequential best fit does
+  with equal pieces one by one: the gap a piece leaves, if it still fits, is the
+  smallest.  A class parts at most two ranges, and a gap that is filled falls
+  below half, so there are few runs (length, ranks, sequences, offset), in all
+  at most some ``capacity * log2(capacity)``.
+* The pieces of a length are ranked, all lengths at once, and the run that
+  holds a piece's rank gives its sequence and offset.  Ranks come from counts per
+  (length, salt), so a length held by a third of all pieces is numbered by many tasks.
+
+Texts are split at single spaces between characters that are no white space, where
+the byte-level pre-tokenizer always splits as well; no token goes across.  The
+tokenizer encodes each different part, and what it gave short ones is remembered.
 
 Defined results: a null text is empty, so its document is the end id alone; a
 null ``doc_id`` stays null; repeated rows are packed as separate documents.
@@ -36,8 +33,12 @@ gapless from 0 inside it.  An empty table gives no rows.  Columns other than
 
 from __future__ import annotations
 
+import bisect
 import os
+import re
 import zlib
+from collections import defaultdict
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,39 +48,87 @@ from pyspark.sql import functions as F
 from .common import broadcast, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+RUNS = "length long, first_rank long, n long, sequence long, per long, first_offset long"
 SALTS = 64
-#: Rounds a piece seeks an old gap before it opens a sequence (more: closer to best fit, more rounds).
-TRIES = 8
 #: Characters encoded at once; an encoding of the library holds some 100 bytes a token.
 SLICE_CHARS = 1 << 20
+#: Longest part of a text whose ids a worker remembers, and how many it remembers in each of two generations.
+SHORT, REMEMBERED = 40, 400_000
+#: White space of Python holds all that the pre-tokenizer knows, and more.
+SPLIT, BESIDE = re.compile(r" (?<=\S )(?=\S)"), re.compile(r" (?:\s|(?<=\s ))")
 
 
 def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(ids.tobytes())
 
 
-def cut(ids: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
+def cut(ids: Sequence[int], capacity: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids; only the first piece may be shorter."""
-    whole = np.asarray(ids, dtype=np.int64)
+    whole = np.asarray(ids, dtype="<u4")
     first = len(whole) % capacity or min(capacity, len(whole))
-    starts = [0, *range(first, len(whole), capacity)] if len(whole) else []
-    return [(i, s, len(whole[s : s + (first if i == 0 else capacity)]), _crc(whole[s : s + (first if i == 0 else capacity)])) for i, s in enumerate(starts)]
+    bounds = [0, *range(first, len(whole) + 1, capacity)] if len(whole) else [0]
+    return [(i, a, b - a, _crc(whole[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def parts(text: str) -> list[str]:
+    """The text cut at spaces, which are left out, so that no token goes across: single ones with no other white space beside."""
+    return SPLIT.split(text) if BESIDE.search(text) else text.split(" ")
+
+
+class Encoder:
+    """Ids of whole texts, by a tokenizer that is asked once for a part it saw lately.
+
+    Ids of short parts are remembered in two generations of about REMEMBERED:
+    a full one becomes the older, and what is used again moves to the younger.
+    """
+
+    def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
+        self._tokenizer = None
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if self._tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_str(self.vocabulary)
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        split = [parts(t) for t in texts]
+        firsts = self._ids([first for first, *_ in split])
+        if len(self._memo) >= REMEMBERED:
+            self._memo, self._older = {}, self._memo
+        memo, new = self._memo, []
+        for part in set().union(*(after for _, *after in split)).difference(memo):
+            ids = self._older.get(part)
+            if ids is None:
+                new.append(part)
+            else:
+                memo[part] = ids
+        memo.update(zip(new, self._ids([" " + part for part in new])))
+        out = [b"".join([first, *map(memo.__getitem__, after)]) for first, (_, *after) in zip(firsts, split)]
+        for part in new:
+            if len(part) > SHORT:
+                del memo[part]
+        return out
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (unsigned, of little-endian uint32 ids)."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = broadcast(docs.sparkSession, f.read())  # a vocabulary: of bounded size
+        shared = broadcast(docs.sparkSession, Encoder(f.read()))  # a vocabulary: of bounded size
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
+        encode = shared.value.encode
+        end = end_id.to_bytes(4, "little")
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            # an encoding keeps offsets and token strings too: encode a bounded number of characters at once
+            # an encoding keeps token strings too: encode a bounded number of characters at once
             start = 0
             while start < len(texts):
                 stop, chars = start, 0
@@ -87,12 +136,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
                     chars += len(texts[stop] or "")
                     stop += 1
                 out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-                encodings = tokenizer.encode_batch([t or "" for t in texts[start:stop]], add_special_tokens=False)
-                for doc_id, encoding in zip(ids[start:stop], encodings):
-                    for row in cut([*encoding.ids, end_id], capacity):
+                for doc_id, encoded in zip(ids[start:stop], encode([t or "" for t in texts[start:stop]])):
+                    for row in cut(np.frombuffer(encoded + end, "<u4"), capacity):
                         for k, v in zip(out, (doc_id, *row)):
                             out[k].append(v)
-                del encodings
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
                 start = stop
 
@@ -100,122 +147,75 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     return rows.mapInArrow(run, PIECES)
 
 
-def _numbered(df: DataFrame, size: list[str], order: str, salts: int) -> DataFrame:
-    """``df`` with ``_k``, its place from 0 among rows of its ``size``, larger sizes of its class first.
+def runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit decreasing of so many pieces of each length: (length, first_rank, n, sequence, per, first_offset).
 
-    Counts per (size, salt) give each salt's start, so no group holds more than
-    its share of a hot size.  ``_before`` (rows of larger sizes in the class) must be present.
+    The ``n`` pieces of the length from ``first_rank`` on go to the sequences from ``sequence`` on,
+    ``per`` to each, behind the first ``first_offset`` tokens.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    counts = salted.groupBy(*size, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*size).orderBy("_salt")) - F.col("_n"))
-    within = F.row_number().over(Window.partitionBy(*size, "_salt").orderBy(order)) - 1
-    return (
-        salted.join(F.broadcast(counts.drop("_n")), [*size, "_salt"])  # at most 2 x capacity x salts rows
-        .withColumn("_k", F.col("_before") + F.col("_ahead") + within)
-        .drop("_salt", "_ahead")
-    )
-
-
-def _classes(todo: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
-    """Per length of an open piece, and whether it lost a gap before: its best-fit gap size ``_g``
-    (``capacity`` for a new sequence), the bins of that size ``_c``, pieces of larger lengths in the
-    class ``_before`` and the most candidates a bin can hold ``_slots``.  At most 2 x ``capacity`` rows.
-
-    ``lost``: the piece lost the gaps it chose ``TRIES`` times and goes to a new sequence."""
-    lengths = todo.groupBy("length").agg(F.count(F.lit(1)).alias("_n"))
-    lost = todo.groupBy("length", "lost").agg(F.count(F.lit(1)).alias("_m"))
-    sizes = gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("_c"))
-    both = lengths.select(F.col("length").alias("_v"), F.lit(0).alias("_kind"), "_n", F.lit(None).cast("long").alias("_c")).unionByName(
-        sizes.select(F.col("gap").alias("_v"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_n"), "_c")
-    )
-    after = Window.orderBy("_v", "_kind").rowsBetween(0, Window.unboundedFollowing)  # at most 2 x capacity rows
-    swept = both.withColumn("_g", F.min(F.when(F.col("_kind") == 1, F.col("_v"))).over(after)).where("_kind = 0").drop("_c")
-    swept = swept.join(sizes.withColumnRenamed("gap", "_g"), "_g", "left").drop("_n")
-    swept = lost.join(swept.withColumnRenamed("_v", "length"), "length").select(
-        F.col("length").alias("_v"),
-        "lost",
-        F.col("_m").alias("_n"),
-        F.when(~F.col("lost"), F.col("_g")).alias("_g"),
-        F.when(~F.col("lost"), F.col("_c")).alias("_c"),
-    )
-    # Pieces above half a sequence never share one with each other: while such pieces find no gap,
-    # each opens its own and the shorter ones wait for the gaps they leave.  Otherwise the pieces
-    # without a gap open as many sequences as their total needs at least.
-    unfit, whole = F.col("_g").isNull(), Window.partitionBy()  # at most ``capacity`` rows
-    big = unfit & (F.col("_v") * 2 > capacity)
-    any_big = F.max(big.cast("int")).over(whole) == 1
-    new_bins = F.when(any_big, F.sum(F.when(big, F.col("_n"))).over(whole)).otherwise(
-        F.ceil(F.sum(F.when(unfit, F.col("_v") * F.col("_n"))).over(whole) / capacity)
-    )
-    classes = swept.select(
-        F.col("_v").alias("length"),
-        "lost",
-        "_n",
-        F.coalesce("_g", F.lit(capacity)).alias("_g"),
-        F.when(unfit, new_bins).otherwise(F.col("_c")).cast("long").alias("_c"),
-        (~unfit | big | ~any_big).alias("_now"),
-    ).where("_now")
-    by_class = Window.partitionBy("_g")
-    return classes.select(
-        "length",
-        "lost",
-        "_g",
-        "_c",
-        (F.sum("_n").over(by_class.orderBy(F.desc("length"), "lost").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-        F.floor(F.col("_g") / F.min("length").over(by_class)).alias("_slots"),
-    )
-
-
-def _round(todo: DataFrame, gaps: DataFrame, capacity: int, salts: int) -> tuple[DataFrame, DataFrame]:
-    """(the pieces placed in one round: pid, length, sequence_id, offset, gap before the round;
-    the classes of all open pieces: pid, length, lost, _g, null where a piece waits)."""
-    todo = todo.withColumn("lost", F.col("tries") >= TRIES)
-    classes = _classes(todo, gaps, capacity)
-    classed = todo.join(F.broadcast(classes), ["length", "lost"], "left")
-    ranked = _numbered(classed.where(F.col("_g").isNotNull()), ["_g", "length", "lost"], "pid", salts)
-    ranked = ranked.withColumns({"_bin": F.col("_k") % F.col("_c"), "_slot": F.floor(F.col("_k") / F.col("_c"))})
-    ranked = ranked.where(F.col("_slot") < F.col("_slots"))
-    in_bin = Window.partitionBy("_g", "_bin").orderBy("_slot")
-    ranked = ranked.withColumns({"_end": F.sum("length").over(in_bin), "_opener": F.first("pid").over(in_bin)})
-    taken = ranked.where(F.col("_end") <= F.col("_g"))
-    numbered_gaps = _numbered(gaps.withColumn("_before", F.lit(0).cast("long")), ["gap"], "sequence_id", salts).withColumnRenamed("_k", "_j")
-    old = taken.join(numbered_gaps, (F.col("_g") == F.col("gap")) & (F.col("_bin") == F.col("_j")))
-    old = old.select("pid", "length", "sequence_id", (F.lit(capacity) - F.col("gap") + F.col("_end") - F.col("length")).alias("offset"), "gap")
-    # gaps are below ``capacity``: a sequence holds a piece at least
-    new = taken.where(F.col("_g") == capacity).select("pid", "length", F.col("_opener").alias("sequence_id"), (F.col("_end") - F.col("length")).alias("offset"), F.lit(capacity).cast("long").alias("gap"))
-    return old.unionByName(new), classed.select("pid", "length", "tries", "_g")
+    gaps: list[int] = []  # sizes of gaps there are, ascending
+    ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)  # per gap (first sequence, number of sequences)
+    out, opened = [], 0
+
+    def leave(gap: int, first: int, n: int) -> None:
+        if gap and n:
+            if not ranges[gap]:
+                bisect.insort(gaps, gap)
+            ranges[gap].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            at = bisect.bisect_left(gaps, length)
+            if at < len(gaps):
+                gap = gaps[at]
+                first, n = ranges[gap].pop()
+                if not ranges[gap]:
+                    gaps.pop(at)
+            else:
+                gap, first, n = capacity, opened, -(-left // (capacity // length))
+                opened += n
+            per = gap // length
+            filled = min(n, left // per)
+            if filled:
+                out.append((length, rank, filled * per, first, per, capacity - gap))
+                leave(gap - per * length, first, filled)
+                rank, left, first, n = rank + filled * per, left - filled * per, first + filled, n - filled
+            if n and left:  # fewer than one sequence takes
+                out.append((length, rank, left, first, per, capacity - gap))
+                leave(gap - left * length, first, 1)
+                left, first, n = 0, first + 1, n - 1
+            leave(gap, first, n)
+    return out
 
 
 def best_fit(items: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
-    """pid, sequence_id and offset of every item (pid unique, 1 <= length <= capacity)."""
-    spark = items.sparkSession
-    full = items.where(F.col("length") == capacity).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo = stored(items.where(F.col("length") < capacity).select("pid", "length", F.lit(0).alias("tries")), "pack-todo")
-    gaps = spark.createDataFrame([], "sequence_id long, gap long")
-    placed = [full]
-    while not todo.isEmpty():
-        taken, classed = _round(todo, gaps, capacity, salts)
-        taken = stored(taken, "pack-taken")
-        placed.append(taken.select("pid", "sequence_id", "offset"))
-        used = taken.groupBy("sequence_id").agg(F.first("gap").alias("gap"), F.sum("length").alias("_used"))
-        grown = used.select("sequence_id", (F.col("gap") - F.col("_used")).alias("gap"))
-        kept = gaps.join(used.select("sequence_id"), "sequence_id", "left_anti")
-        gaps = stored(kept.unionByName(grown).where("gap > 0"), "pack-gaps")
-        left = classed.join(taken.select("pid"), "pid", "left_anti")
-        lost = F.coalesce(F.col("_g") < capacity, F.lit(False)).cast("int")  # waiting pieces lost nothing
-        todo = stored(left.select("pid", "length", (F.col("tries") + lost).alias("tries")), "pack-todo")
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+    """``items`` (pid unique, 1 <= length <= capacity; read several times) with sequence_id and offset."""
+    # full pieces get negative numbers, the others those of the plan
+    full = items.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("pid"), "offset": F.lit(0).cast("long")})
+    open_ = items.where(F.col("length") < capacity).withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salts)))
+    counts = open_.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity x salts rows
+    totals = dict(counts.groupBy("length").agg(F.sum("_n")).collect())  # at most ``capacity`` rows
+    plan = items.sparkSession.createDataFrame(runs(totals, capacity), RUNS).withColumnRenamed("length", "_length")
+    ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("pid")) - 1
+    ranked = open_.withColumn("_within", within).join(F.broadcast(ahead), ["length", "_salt"])
+    ranked = ranked.withColumn("_rank", F.col("_ahead") + F.col("_within"))
+    in_run = (F.col("_length") == F.col("length")) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("first_rank") + F.col("n"))
+    placed = ranked.join(F.broadcast(plan), in_run).withColumn("_at", F.col("_rank") - F.col("first_rank"))
+    placed = placed.withColumns(
+        {
+            "sequence_id": F.col("sequence") + F.expr("_at div per"),
+            "offset": F.col("first_offset") + F.col("_at") % F.col("per") * F.col("length"),
+        }
+    )
+    return full.unionByName(placed.select(*full.columns))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = stored(tokenized(docs, tokenizer_path, end_id, capacity).withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
-    placed = best_fit(pieces.select("pid", "length"), capacity)
-    return pieces.join(placed, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return best_fit(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> Column:

@@ -94,3 +94,27 @@ def test_best_fit_is_valid_and_tight(spark, lengths):
     assert sorted(placed) == list(range(len(lengths)))
     rows = [type("R", (), {"sequence_id": p.sequence_id, "offset": p.offset, "length": lengths[p.pid]}) for p in placed.values()]
     assert assert_valid(rows) <= best_fit_decreasing(lengths) * 1.05 + 1
+
+
+@pytest.mark.parametrize("lengths", [list(range(1, 1024)), [700, *[300] * 5, *[24] * 40, *[7] * 999], [(i * i * 37) % 1023 + 1 for i in range(3000)]])
+def test_exactly_as_many_sequences_as_best_fit_decreasing(spark, lengths):
+    """Also by a plan whose size does not depend on the lengths (before: a table and some joins a round)."""
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "pid long, length long")
+    placed = packing.best_fit(items, 1024, salts=4)
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    rows = [type("R", (), {"sequence_id": p.sequence_id, "offset": p.offset, "length": lengths[p.pid]}) for p in placed.collect()]
+    assert len(rows) == len(lengths)
+    assert assert_valid(rows) == best_fit_decreasing(lengths)
+
+
+def test_parts_are_encoded_as_whole_texts():
+    rng = np.random.default_rng(3)
+    signs = [*"      ab'1.,\n\t\x1c\x85", " ", " ", "é", "世", "́", "<|endoftext|>", "'s", " 'll"]
+    texts = ["", " ", "a", *("".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)), "a " * 50 + "b" * 90]
+    tok = Tokenizer.from_file(VOCAB)
+    with open(VOCAB, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    for _ in range(2):  # the second time from memory
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder._memo)) <= packing.SHORT

@@ -2,25 +2,24 @@
 
 Rows are quantised (each component ``x`` becomes ``floor(256 * x)``), ordered
 along a Hilbert curve over three fixed projections and cut into blocks of
-``block_rows`` rows, stored as Parquet in that order.  Each block has a zone map:
-per dimension the least and greatest component, and the least and greatest
-vec_id.  For an anchor ``a`` the inner product of any row of a block lies in
-``[sum_d min(a_d lo_d, a_d hi_d), sum_d max(a_d lo_d, a_d hi_d)]`` (interval
-arithmetic).  So, per anchor:
-
-* positives (the first ``positives`` other rows of its label, by score, then
-  smaller vec_id): blocks are ranked by the least key any of their rows can have;
-  where enough rows of the label are certain to rank at least there, the rest
-  of the blocks can only matter if their greatest key reaches that threshold;
-* negatives (rows of other labels with ``30 P <= 100 N <= 90 P`` for a positive
-  of score ``P``, the first ``negatives`` of them): the same with the score
-  window, counting only blocks that lie inside it as certain.
-
-Only the blocks an anchor must read are scored exactly, in numpy, one block at a
-time; the anchors that need one block are dealt in chunks of ``chunk`` so that
-a block read by every anchor is shared out.  Ties of equal vectors are bounded
-by the vec_id range of a block, which the Hilbert order (vector, then vec_id)
-keeps narrow.
+``block_rows`` rows, stored as Parquet in that order.
+
+The anchors are dealt in chunks of about ``chunk``, the blocks in slices of some
+``SLICE_ROWS`` rows or more, as many as there are shuffle partitions for.  A task streams
+the blocks of a slice past a chunk of anchors and keeps, per anchor and score window, the
+first rows so far (``positives`` other rows of the anchor's label, then ``negatives``
+of other labels with ``30 P <= 100 N <= 90 P`` for each positive of score ``P``):
+
+* Each block has a zone map, per dimension the least and greatest component.  For an
+  anchor ``a`` the inner product of any row of a block lies in ``[sum_d min(a_d lo_d,
+  a_d hi_d), sum_d max(a_d lo_d, a_d hi_d)]`` (interval arithmetic).  A block that
+  cannot reach the window, or the last score kept, is not scored for it.
+* The other blocks are scored by exact integer products of matrices, some rows and
+  windows at a time.  Only rows that reach the last score kept (ties too) are merged.
+
+The pairs of an anchor and a row are quadratic by nature where the bounds leave no
+block out; a task holds a chunk, what it keeps and one tile of scores, and gives
+``positives * negatives`` rows an anchor at most.
 
 Defined results: rows with a null label, a null vector, or a null or non-finite
 component take no part.  Vectors of different lengths are compared as if padded
@@ -33,9 +32,13 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -43,7 +46,9 @@ from .common import stored
 LAST = 2**63 - 1
 #: Fixed values of the contract: the quantisation and the window of a negative, in percent of a positive's score.
 SCALE, WINDOW = 256, (30, 90)
-SCORES = "anchor long, positive long, rid long, vec_id long, label int, score long"
+SCORES = "anchor long, positive long, rid long, vec_id long, score long"
+#: Rows of a slice at least; rows and windows scored at once.
+SLICE_ROWS, TILE = 8192, 1024
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -91,8 +96,8 @@ def _directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((count, dim)) / np.sqrt(dim)
 
 
-def blocks(rows: DataFrame, block_rows: int, bits: int = 10, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates with block_id, zone maps, counts per block and label), the candidates stored in Hilbert order."""
+def blocks(rows: DataFrame, block_rows: int, bits: int = 10, seed: int = 7) -> DataFrame:
+    """Candidates with block_id, stored in Hilbert order; vectors padded to one length."""
     dim = rows.select(F.max(F.size("q"))).first()[0] or 0
     rows = rows.withColumn("q", F.concat("q", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("q"))))
     typical = rows.select(F.avg(F.aggregate("q", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.greatest(F.size("q"), F.lit(1)))).first()[0] or 1.0
@@ -123,106 +128,149 @@ def blocks(rows: DataFrame, block_rows: int, bits: int = 10, seed: int = 7) -> t
             seen += len(frame)
             yield frame.drop(columns="hkey").assign(block_id=part * (1 << 32) + at // block_rows)
 
-    cands = stored(ordered.mapInPandas(number, "vec_id long, label int, q array<long>, rid long, block_id long"), "negatives-blocks")
-    vec = F.coalesce("vec_id", F.lit(LAST))
-    zones = stored(
-        cands.groupBy("block_id").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.array(*[F.min(F.col("q")[i]) for i in range(dim)]).alias("lo"),
-            F.array(*[F.max(F.col("q")[i]) for i in range(dim)]).alias("hi"),
-            F.min(vec).alias("min_vec"),
-            F.max(vec).alias("max_vec"),
-        ),
-        "negatives-zones",
-    )
-    labels = stored(cands.groupBy("block_id", "label").agg(F.count(F.lit(1)).alias("n_label")), "negatives-labels")
-    return cands, zones, labels
-
-
-def _bounds(anchors: DataFrame, zones: DataFrame) -> DataFrame:
-    """Every anchor against every block's zone map (the query set against all rows, in blocks): lb and ub."""
-    low = F.zip_with("a_q", "lo", lambda x, y: x * y)
-    high = F.zip_with("a_q", "hi", lambda x, y: x * y)
-    pairs = anchors.crossJoin(zones)
-    return pairs.select(
-        "*",
-        F.aggregate(F.zip_with(low, high, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x).alias("lb"),
-        F.aggregate(F.zip_with(low, high, lambda x, y: F.greatest(x, y)), F.lit(0).cast("long"), lambda s, x: s + x).alias("ub"),
-    ).drop("lo", "hi", "a_q")
-
-
-def _must_read(bounds: DataFrame, keys: list[str], count: str, need: int, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
-    """The (keys, block) pairs whose rows can be among the first ``need`` by (score desc, vec_id) in [lo, hi].
-
-    A block inside the window holds ``count`` rows whose key is at least (lb, max_vec); once such
-    rows reach ``need``, a block whose best possible key (min(ub, hi), min_vec) is below that is left out.
-    """
-    lo = F.lit(-LAST) if lo is None else lo
-    hi = F.lit(LAST) if hi is None else hi
-    inside = (F.col("lb") >= lo) & (F.col("ub") <= hi)
-    order = Window.partitionBy(*keys).orderBy(F.desc("lb"), "max_vec", "block_id")
-    sure = F.sum(F.when(inside, F.col(count)).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = bounds.withColumn("_sure", sure)
-    reached = F.min(F.when(inside & (F.col("_sure") >= need), F.struct((-F.col("lb")).alias("s"), F.col("max_vec").alias("v")))).over(
-        Window.partitionBy(*keys)
-    )
-    top = F.least(F.col("ub"), hi)
-    marked = marked.withColumn("_t", reached)
-    useful = (F.col(count) > 0) & (F.col("ub") >= lo) & (F.col("lb") <= hi)
-    above = F.col("_t").isNull() | (top > -F.col("_t.s")) | ((top == -F.col("_t.s")) & (F.col("min_vec") <= F.col("_t.v")))
-    return marked.where(useful & above).drop("_sure", "_t")
-
-
-def _scored(needed: DataFrame, cands: DataFrame, keep: int, chunk: int) -> DataFrame:
-    """Exact scores of the rows of needed blocks: per (anchor, window, block) the first ``keep`` rows that qualify.
-
-    ``needed``: anchor, a_label, a_q, positive (window id, -1 for the positive phase), w_lo, w_hi,
-    same (rows of the anchor's label wanted, else of other labels), block_id.
+    return stored(ordered.mapInPandas(number, "vec_id long, label int, q array<long>, rid long, block_id long"), "negatives-blocks")
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices; by floats where those are exact."""
+    largest = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    if 0 <= largest < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T
+
+
+class _Tile:
+    """Some windows (anchor, positive, w_lo, w_hi) and the first ``keep`` rows that each has met."""
+
+    def __init__(self, q: np.ndarray, of: np.ndarray, anchor: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, keep: int, same: bool):
+        self.q, self.of, self.anchor, self.label = q, of, anchor, label  # vectors, and per window its vector, anchor and label
+        self.low, self.high, self.keep, self.same = low.copy(), high, keep, same
+        self.plus, self.minus = np.maximum(q, 0), np.minimum(q, 0)
+        self.kept = [np.zeros(0, np.int64)] * 4  # window, -score, vec_id, rid
+
+    def meet(self, q: np.ndarray, starts: np.ndarray, rid: np.ndarray, vec: np.ndarray, label: np.ndarray) -> None:
+        """Rows in blocks that begin at ``starts``."""
+        least, most = np.minimum.reduceat(q, starts), np.maximum.reduceat(q, starts)
+        below = (_products(self.plus, least) + _products(self.minus, most))[self.of]
+        above = (_products(self.plus, most) + _products(self.minus, least))[self.of]
+        read = (above >= self.low[:, None]) & (below <= self.high[:, None])
+        rows = np.flatnonzero(np.repeat(read.any(0), np.diff(starts, append=len(q))))
+        windows = np.flatnonzero(read.any(1))
+        if not len(rows) or not len(windows):
+            return
+        vectors, of = np.unique(self.of[windows], return_inverse=True)
+        score = _products(self.q[vectors], q[rows])[of]
+        alike = self.label[windows][:, None] == label[rows]
+        ok = (alike if self.same else ~alike) & (score >= self.low[windows][:, None]) & (score <= self.high[windows][:, None])
+        ok &= self.anchor[windows][:, None] != rid[rows]
+        w, r = np.nonzero(ok)
+        if len(w):
+            self._merge([windows[w], -score[w, r], vec[rows[r]], rid[rows[r]]])
+
+    def _merge(self, found: list[np.ndarray]) -> None:
+        held = [np.concatenate(pair) for pair in zip(self.kept, found, strict=True)]
+        order = np.lexsort(held[::-1])
+        held = [c[order] for c in held]
+        heads = np.flatnonzero(np.diff(held[0], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(heads, np.diff(heads, append=len(order)))
+        self.kept = [c[place < self.keep] for c in held]
+        last = place == self.keep - 1
+        self.low[held[0][last]] = -held[1][last]  # never below the window
+
+
+class _Chunk:
+    """The windows of a chunk of anchors, in tiles."""
+
+    def __init__(self, keep: int, same: bool):
+        self.keep, self.same, self.batches, self.tiles = keep, same, [], None
+
+    def ask(self, batch: pa.RecordBatch) -> None:
+        self.batches.append(batch)
+
+    def _begin(self) -> None:
+        held = pa.Table.from_batches(self.batches).combine_chunks()
+        asks = held["windows"].chunk(0)
+        q, rid, label = _matrix(held["q"].chunk(0)), held["rid"].to_numpy(), held["label"].to_numpy()
+        owner = np.repeat(np.arange(len(asks)), pc.list_value_length(asks).to_numpy())
+        flat = asks.flatten()
+        self.positive, low, high = (flat.field(c).to_numpy() for c in ("positive", "w_lo", "w_hi"))
+        self.anchor, self.tiles = rid[owner], []
+        for at in range(0, len(owner), TILE):
+            part = slice(at, at + TILE)
+            vectors, of = np.unique(owner[part], return_inverse=True)
+            self.tiles.append((at, _Tile(q[vectors], of, self.anchor[part], label[owner[part]], low[part], high[part], self.keep, self.same)))
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        if self.tiles is None:
+            self._begin()
+        q, block, rid, label = _matrix(batch.column("q")), *(batch.column(c).to_numpy() for c in ("block_id", "rid", "label"))
+        vec = batch.column("vec_id").fill_null(LAST).to_numpy()
+        for at in range(0, len(q), TILE):
+            part = slice(at, at + TILE)
+            starts = np.flatnonzero(np.diff(block[part], prepend=-1))
+            for _, tile in self.tiles:
+                tile.meet(q[part], starts, rid[part], vec[part], label[part])
+
+    def found(self) -> pa.RecordBatch:
+        """The rows kept, by SCORES."""
+        columns = [np.concatenate(c) for c in zip(*((t.kept[0] + at, *t.kept[1:]) for at, t in self.tiles or []), strict=True)] or [np.zeros(0, np.int64)] * 4
+        w, score, vec, rid = columns
+        names = [c.split()[0] for c in SCORES.split(", ")]
+        anchor, positive = (self.anchor[w], self.positive[w]) if len(w) else (w, w)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor, positive, rid, vec, -score)], names)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return lists.flatten().to_numpy().reshape(len(lists), -1) if len(lists) else np.zeros((0, 0), np.int64)
+
+
+def _scored(asks: DataFrame, cands: DataFrame, keep: int, same: bool, chunk: int) -> DataFrame:
+    """Per slice of the blocks, the first ``keep`` rows of each window by (score desc, vec_id, rid).
+
+    ``asks``: rid, label and q of an anchor and windows, an array of (positive, w_lo, w_hi);
+    ``same``: rows of the anchor's label are wanted, else of other labels.
     """
-    spark = needed.sparkSession
-    width = needed.groupBy("block_id").agg(F.ceil(F.count_distinct("anchor") / chunk).alias("_chunks"))
-    needed = needed.join(width, "block_id").withColumn("_chunk", F.pmod(F.xxhash64("anchor"), F.col("_chunks"))).drop("_chunks")
-    spread = cands.join(width, "block_id").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks")
-
-    def score(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asks.empty or rows.empty:
-            return pd.DataFrame({c: [] for c in ("anchor", "positive", "rid", "vec_id", "label", "score")})
-        anchors = asks.drop_duplicates("anchor")
-        a = np.array(anchors["a_q"].tolist(), dtype=np.int64)
-        r = np.array(rows["q"].tolist(), dtype=np.int64)
-        at = {k: i for i, k in enumerate(anchors["anchor"])}
-        all_scores = a @ r.T
-        vec = rows["vec_id"].fillna(LAST).to_numpy(np.int64)  # exact below 2**53
-        rid, labels = rows["rid"].to_numpy(np.int64), rows["label"].to_numpy(np.int64)
-        out = []
-        for ask in asks.itertuples(index=False):
-            s = all_scores[at[ask.anchor]]
-            ok = (labels == ask.a_label) if ask.same else (labels != ask.a_label)
-            ok &= (rid != ask.anchor) & (s >= ask.w_lo) & (s <= ask.w_hi)
-            idx = np.flatnonzero(ok)
-            idx = idx[np.lexsort((rid[idx], vec[idx], -s[idx]))][:keep]
-            out.append(pd.DataFrame({"anchor": ask.anchor, "positive": ask.positive, "rid": rid[idx], "vec_id": vec[idx], "label": labels[idx], "score": s[idx]}))
-        return pd.concat(out, ignore_index=True)
-
-    grouped = needed.groupBy("block_id", "_chunk").cogroup(spread.groupBy("block_id", "_chunk"))
-    return grouped.applyInPandas(score, SCORES).withColumn("vec_id", F.when(F.col("vec_id") != LAST, F.col("vec_id")))
-
-
-def mine(rows: DataFrame, anchor_every: int = 100, positives: int = 5, negatives: int = 10, block_rows: int = 256, chunk: int = 2048) -> DataFrame:
+    partitions = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(1, -(-asks.count() // chunk))
+    slices = max(1, min(-(-partitions // chunks), cands.count() // SLICE_ROWS))
+    number = F.pmod(F.xxhash64("rid"), F.lit(chunks))
+    part = F.pmod(F.xxhash64("block_id"), F.lit(slices))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    first = asks.select(every(slices).alias("_slice"), number.alias("_chunk"), F.lit(-1).cast("long").alias("block_id"), "rid", F.lit(None).cast("long").alias("vec_id"), "label", "q", "windows")
+    rest = cands.select(part.alias("_slice"), every(chunks).alias("_chunk"), "block_id", "rid", "vec_id", "label", "q", F.lit(None).cast(asks.schema["windows"].dataType).alias("windows"))
+    dealt = first.unionByName(rest).withColumn("_group", F.col("_chunk") * slices + F.col("_slice")).drop("_chunk", "_slice")
+    # the anchors of a group come before its blocks
+    dealt = dealt.repartition(2 * chunks * slices, "_group").sortWithinPartitions("_group", "block_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, None
+        for batch in batches:
+            group, block = batch.column("_group").to_numpy(), batch.column("block_id").to_numpy()
+            cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(block < 0) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+                if a == b:
+                    continue
+                if group[a] != known:
+                    if held:
+                        yield held.found()
+                    held, known = _Chunk(keep, same), group[a]
+                if block[a] < 0:
+                    held.ask(batch.slice(a, b - a))
+                elif held.batches:  # a chunk may be dealt no anchor
+                    held.meet(batch.slice(a, b - a))
+        if held:
+            yield held.found()
+
+    return dealt.mapInArrow(run, SCORES).withColumn("vec_id", F.when(F.col("vec_id") != LAST, F.col("vec_id")))
+
+
+def mine(rows: DataFrame, anchor_every: int = 100, positives: int = 5, negatives: int = 10, block_rows: int = 256, chunk: int = 8192) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score (see the module)."""
-    cands, zones, labels = blocks(quantised(rows), block_rows)
-    anchors = cands.where(F.col("vec_id") % anchor_every == 0).select(
-        F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"), F.col("q").alias("a_q"), F.col("block_id").alias("a_block")
-    )
-    anchors = stored(anchors, "negatives-anchors")
-    bounds = stored(_bounds(anchors.drop("anchor_id"), zones), "negatives-bounds")
-    same = labels.select("block_id", F.col("label").alias("a_label"), "n_label")
-    bounds = bounds.join(same, ["block_id", "a_label"], "left").withColumn("n_label", F.coalesce("n_label", F.lit(0)))
-    own = F.when(F.col("a_block") == F.col("block_id"), 1).otherwise(0)
-    first = _must_read(bounds.withColumn("_count", F.col("n_label") - own), ["anchor"], "_count", positives)
-    vectors = anchors.select("anchor", "a_q")
-    asks = first.select("anchor", "a_label", F.lit(-1).cast("long").alias("positive"), F.lit(-LAST).alias("w_lo"), F.lit(LAST).alias("w_hi"), F.lit(True).alias("same"), "block_id")
-    found = _scored(asks.join(vectors, "anchor"), cands, positives, chunk)
+    cands = blocks(quantised(rows), block_rows)
+    anchors = stored(cands.where(F.col("vec_id") % anchor_every == 0).select("rid", "vec_id", "label", "q"), "negatives-anchors")
+    every = F.array(F.struct(F.lit(-1).cast("long").alias("positive"), F.lit(-LAST).alias("w_lo"), F.lit(LAST).alias("w_hi")))
+    found = _scored(anchors.select("rid", "label", "q", every.alias("windows")), cands, positives, True, chunk)
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), F.coalesce("vec_id", F.lit(LAST)), "rid")
     pos = stored(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= positives), "negatives-positives")
     low, high = WINDOW
@@ -234,13 +282,11 @@ def mine(rows: DataFrame, anchor_every: int = 100, positives: int = 5, negatives
         F.expr(f"ceil({low} * score / 100)").cast("long").alias("w_lo"),
         F.expr(f"floor({high} * score / 100)").cast("long").alias("w_hi"),
     ).where(F.col("w_lo") <= F.col("w_hi"))
-    other = bounds.withColumn("_count", F.col("n") - F.col("n_label"))
-    second = _must_read(other.join(windows.select("anchor", "positive", "w_lo", "w_hi"), "anchor"), ["anchor", "positive"], "_count", negatives, F.col("w_lo"), F.col("w_hi"))
-    asks = second.select("anchor", "a_label", "positive", "w_lo", "w_hi", F.lit(False).alias("same"), "block_id")
-    found = _scored(asks.join(vectors, "anchor"), cands, negatives, chunk)
+    asked = windows.groupBy(F.col("anchor").alias("rid")).agg(F.collect_list(F.struct("positive", "w_lo", "w_hi")).alias("windows"))
+    found = _scored(stored(anchors.join(asked, "rid").select("rid", "label", "q", "windows"), "negatives-asks"), cands, negatives, False, chunk)
     firsts = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), F.coalesce("vec_id", F.lit(LAST)), "rid")
     neg = found.withColumn("rank", F.row_number().over(firsts)).where(F.col("rank") <= negatives)
-    return neg.join(windows, ["anchor", "positive"]).join(anchors.select("anchor", "anchor_id"), "anchor").select(
+    return neg.join(windows, ["anchor", "positive"]).join(anchors.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id")), "anchor").select(
         "anchor_id",
         "positive_id",
         F.col("rank").cast("int").alias("rank"),

@@ -80,3 +80,20 @@ def test_hilbert_is_a_curve():
     assert sorted(index.tolist()) == list(range(side * side))
     path = cells[np.argsort(index)]
     assert all(np.abs(path[i + 1] - path[i]).sum() == 1 for i in range(len(path) - 1))
+
+
+def test_chunks_slices_and_tiles_give_the_same(spark, monkeypatch):
+    """Several chunks of anchors and slices of blocks, tiles of a few windows; no row per pair of anchor and block in the plan."""
+    monkeypatch.setattr(negatives, "SLICE_ROWS", 60)
+    monkeypatch.setattr(negatives, "TILE", 7)
+    rows = table(4, 300, dim=5) + [(500 + i, [0.5, 0.25, 0.0, -0.5, 0.125], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = negatives.mine(df, anchor_every=10, block_rows=16, chunk=8)
+    assert sorted(map(tuple, found.collect())) == sorted(brute(rows, every=10))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "CoGroup" not in plan
+
+
+def test_products_are_exact():
+    a, b = np.array([[2**40 + 1, 3], [1, -1]]), np.array([[2**20 + 1, 5], [7, 2**30]])
+    assert negatives._products(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(r, s)) for s in b] for r in a]

@@ -283,7 +283,7 @@ def repeated_windows(segments: list[np.ndarray], low: np.ndarray, high: np.ndarr
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     place = np.arange(len(symbols)) - begins[owner]
     symbols[place < sizes[owner]] = codes + 1
-    order = suffix_order(symbols, window, max(1, int(len(used)).bit_length()))
+    order, _, _ = suffix_order(symbols, window, max(1, int(len(used)).bit_length()))
     whole = place + window <= sizes[owner]
     padded = np.concatenate([symbols, np.zeros(window, np.int64)])
     same = whole[order].copy()

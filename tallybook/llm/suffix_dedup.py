@@ -211,43 +211,57 @@ def _cut(length: int):
     return run
 
 
-def suffix_order(symbols: np.ndarray, length: int, width: int = 9) -> np.ndarray:
-    """Starts of all suffixes, sorted by at least ``length`` symbols of ``width`` bits each."""
+def suffix_order(symbols: np.ndarray, length: int, width: int = 9) -> tuple[np.ndarray, int, np.ndarray]:
+    """Starts of all suffixes, sorted by at least ``length`` symbols of ``width`` bits each.
+
+    Each round sorts only the suffixes that are not alone yet.  Also a number of symbols below ``length`` that the
+    rounds came by, and whether each place differs from the one before it within so many.
+    """
     n = len(symbols)
     size = 63 // width
     padded = np.concatenate([symbols, np.zeros(size, np.int64)])
     key = np.zeros(n, np.int64)
     for i in range(size):
         key = key << width | padded[i : i + n]
+    order = np.argsort(key)
+    key = key[order]
+    heads = np.concatenate([[True], key[1:] != key[:-1]])
+    ranked, before = 0, np.arange(n) == 0
     bits = (n + 1).bit_length()
-    while True:
-        order = np.argsort(key)
-        if size >= length:
-            return order
-        ordered = key[order]
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        key = rank
-        for part in range(1, 63 // bits):  # as many ranks as fit, of the suffixes size, 2 * size ... further on
-            key = key << bits
-            key[: max(0, n - part * size)] |= rank[part * size :]
-        size *= 63 // bits
-
-
-def shared_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    times = 63 // bits  # as many ranks as fit, of the suffixes size, 2 * size ... further on
+    while size < length:
+        ranked, before = size, heads
+        place = np.maximum.accumulate(np.where(heads, np.arange(1, n + 1), 0))
+        rank = np.zeros(n + times * size, np.int64)
+        rank[order] = place
+        todo = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+        start, key = order[todo], place[todo]
+        for part in range(1, times):
+            key = key << bits | rank[start + part * size]
+        sorting = np.argsort(key)
+        key = key[sorting]
+        order[todo] = start[sorting]
+        heads = heads.copy()
+        heads[todo[1:]] = key[1:] != key[:-1]
+        size *= times
+    return order, ranked, before
+
+
+def shared_prefixes(symbols: np.ndarray, order: np.ndarray, length: int, ranked: int, heads: np.ndarray) -> np.ndarray:
     """For each place of the order whether its suffix shares ``length`` symbols, none of them 0, with the one before it.
 
-    Places whose suffix meets a 0 within ``length`` symbols have no meaning.
+    ``heads`` tells the places that differ from the one before within ``ranked`` symbols: the extension begins with the
+    intervals of all strings of as many.  Places whose suffix meets a 0 within ``length`` symbols have no meaning.
     """
     n = len(symbols)
     transform = symbols[order - 1].astype(np.uint16)
     back = np.zeros(n, np.int64)  # place of the suffix that is one symbol longer
     back[np.argsort(transform, kind="stable")] = np.arange(n)
 
-    known = np.zeros(n + 1, bool)
-    known[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):  # all intervals hold strings of as many symbols
+    known = np.append(heads, True)
+    low = np.flatnonzero(heads)
+    high = np.append(low[1:], n)
+    for _ in range(ranked, length):  # all intervals hold strings of as many symbols
         alone = high - low == 1
         one = low[alone]
         lows = back[one[transform[one] > 0]]
@@ -273,14 +287,15 @@ def shared_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     return ~known[:n]
 
 
-def repeats_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """Per segment, which of its windows also start earlier, by (rank of the document, start)."""
+def _late_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places of the joined segments begin a window that also starts earlier, by (rank of the document, start);
+    the segments' begins and sizes."""
     sizes = np.array([len(s) for s in segments])
     symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.int64) + 1
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     symbols[begins + sizes] = 0
-    order = suffix_order(symbols, length)
-    same = shared_prefixes(symbols, order, length)
+    order, ranked, heads = suffix_order(symbols, length)
+    same = shared_prefixes(symbols, order, length, ranked, heads)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     place = np.arange(len(symbols)) - begins[owner]
     whole = place + length <= sizes[owner]
@@ -293,6 +308,12 @@ def repeats_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarra
     late = np.zeros(len(symbols), bool)
     late[order] = when[order] > earliest[classes]
     late &= whole
+    return late, begins, sizes
+
+
+def repeats_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Per segment, which of its windows also start earlier, by (rank of the document, start)."""
+    late, begins, sizes = _late_in_block(segments, ranks, starts, length)
     return [late[b : b + size] for b, size in zip(begins, sizes, strict=True)]
 
 
@@ -321,9 +342,12 @@ def _compare(length: int):
             if last or held >= BLOCK and rows[i + 1][1][4] != place[4]:
                 ranks = np.array([documents[p[:2]] for _, p in block])
                 starts = np.array([p[2] for _, p in block])
-                for (_, p), late in zip(block, repeats_in_block([s for s, _ in block], ranks, starts, length), strict=True):
-                    edges = np.flatnonzero(np.diff(late, prepend=False, append=False))
-                    found += ((p[0], p[1], p[2] + a, b - a) for a, b in edges.reshape(-1, 2).tolist())
+                late, begins, _ = _late_in_block([s for s, _ in block], ranks, starts, length)
+                # a segment ends with a place that is not late, so no run goes across
+                edges = np.flatnonzero(np.diff(late, prepend=False, append=False)).reshape(-1, 2)
+                owner = np.searchsorted(begins, edges[:, 0], side="right") - 1
+                first = starts[owner] + edges[:, 0] - begins[owner]
+                found += ((*block[i][1][:2], a, n) for i, a, n in zip(owner.tolist(), first.tolist(), (edges[:, 1] - edges[:, 0]).tolist()))
                 block, held = [], 0
         if found:
             yield _batch(RUNS, list(zip(*_joined(found), strict=True)))

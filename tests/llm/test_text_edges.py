@@ -494,3 +494,21 @@ def test_networks_are_permutations(spark):
     back = pii._permuted(F.col("p.x"), F.col("p.y"), F.lit(7), F.lit(11), "k", "t", True)
     rows = new.select("*", back.alias("q")).collect()
     assert len({tuple(r.p) for r in rows}) == 77 and all(tuple(r.q) == (r.x, r.y) for r in rows)
+
+
+@pytest.mark.parametrize("length", [5, 40, 100, 200])
+def test_suffixes_are_sorted_once_alone_no_more(length, monkeypatch):
+    """The order is that of the first symbols; later rounds sort only what is tied, and the extension begins at their depth."""
+    rng = np.random.default_rng(length)
+    base = rng.integers(1, 5, 150)
+    symbols = np.concatenate([rng.integers(1, 256, 3000), base, [0], base[20:], [0], base[:130], [0]])
+    sorted_at_once = []
+    argsort = np.argsort
+    monkeypatch.setattr(suffix_dedup.np, "argsort", lambda a, **kw: sorted_at_once.append(len(a)) or argsort(a, **kw))
+    order, ranked, heads = suffix_dedup.suffix_order(symbols, length)
+    keys = [tuple(symbols[i : i + length]) for i in order]
+    assert sorted(order.tolist()) == list(range(len(symbols)))
+    assert keys == sorted(keys)
+    assert (0 < ranked < length) == (length > 7)
+    assert heads.tolist() == [i == 0 or keys[i][:ranked] != keys[i - 1][:ranked] for i in range(len(keys))]
+    assert sum(sorted_at_once) < len(symbols) + 4 * 500

@@ -23,6 +23,7 @@ by best fit decreasing, a length class at a time:
 Texts are split at single spaces between characters that are no white space, where
 the byte-level pre-tokenizer always splits as well; no token goes across.  The
 tokenizer encodes each different part, and what it gave short ones is remembered.
+A part that is one word of Latin letters is given to its model as its pre-tokenizer writes it.
 
 Defined results: a null text is empty, so its document is the end id alone; a
 null ``doc_id`` stays null; repeated rows are packed as separate documents.
@@ -36,6 +37,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Sequence
@@ -55,6 +57,8 @@ SLICE_CHARS = 1 << 20
 #: Longest part of a text whose ids a worker remembers, and how many it remembers in each of two generations.
 SHORT, REMEMBERED = 40, 400_000
 #: White space of Python holds all that the pre-tokenizer knows, and more.
+#: A word that the pre-tokenizer leaves whole behind a space (letters of Latin scripts), and a sign that it cuts off.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]?)")
 SPLIT, BESIDE = re.compile(r" (?<=\S )(?=\S)"), re.compile(r" (?:\s|(?<=\s ))")
 
 
@@ -84,33 +88,59 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         self.vocabulary = vocabulary
-        self._tokenizer = None
+        self._tokenizer = self._model = self._signs = None
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _library(self):
         if self._tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self._tokenizer = Tokenizer.from_str(self.vocabulary)
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self._model = self._tokenizer.model
+            # how the byte-level pre-tokenizer writes each byte that these words hold
+            byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            letters = [chr(c) for c in range(0x20, 0x2B0)]
+            self._signs = {c: byte_level.pre_tokenize_str(c)[0][0] for c in letters}
+        return self._tokenizer
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._library().encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each part with a space before it; a word goes to the model straight away, as pre-tokenized."""
+        self._library()
+        out, others, tokenize, signs = {}, [], self._model.tokenize, self._signs
+        for part in new:
+            match = WORD.fullmatch(part)
+            if match:
+                word, sign = match.groups()
+                written = signs[" "] + (word if word.isascii() else "".join([signs[c] for c in word]))
+                ids = [t.id for t in tokenize(written)]
+                if sign:
+                    ids += [t.id for t in tokenize(sign)]
+                out[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(part)
+        out.update(zip(others, self._ids([" " + part for part in others])))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         split = [parts(t) for t in texts]
-        firsts = self._ids([first for first, *_ in split])
+        firsts = self._ids([text.pop(0) for text in split])
         if len(self._memo) >= REMEMBERED:
             self._memo, self._older = {}, self._memo
         memo, new = self._memo, []
-        for part in set().union(*(after for _, *after in split)).difference(memo):
+        for part in set().union(*split).difference(memo):
             ids = self._older.get(part)
             if ids is None:
                 new.append(part)
             else:
                 memo[part] = ids
-        memo.update(zip(new, self._ids([" " + part for part in new])))
-        out = [b"".join([first, *map(memo.__getitem__, after)]) for first, (_, *after) in zip(firsts, split)]
+        memo.update(self._after_space(new))
+        out = [b"".join([first, *map(memo.__getitem__, after)]) for first, after in zip(firsts, split)]
         for part in new:
             if len(part) > SHORT:
                 del memo[part]

@@ -110,7 +110,7 @@ def test_exactly_as_many_sequences_as_best_fit_decreasing(spark, lengths):
 def test_parts_are_encoded_as_whole_texts():
     rng = np.random.default_rng(3)
     signs = [*"      ab'1.,\n\t\x1c\x85", " ", " ", "é", "世", "́", "<|endoftext|>", "'s", " 'll"]
-    texts = ["", " ", "a", *("".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)), "a " * 50 + "b" * 90]
+    texts = ["", " ", "a", *("".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)), "a " * 50 + "b" * 90, "Été word, über. œuvre! ×a ÷b, naïve; ŋ? İ ǆ:"]
     tok = Tokenizer.from_file(VOCAB)
     with open(VOCAB, encoding="utf-8") as f:
         encoder = packing.Encoder(f.read())

@@ -411,6 +411,38 @@ def test_a_common_byline_with_other_words_is_spread(spark):
     assert sum(r[4] > 0 for r in plain) == 6
 
 
+def test_covered_tokens_are_those_of_windows_on_distinct_pages(spark):
+    """Also where a segment that several pages share has a window in common with another one of its first page (missed before)."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        said = ["\u2003".join(rng.choices("abcd", k=rng.randint(9, 14))) if rng.random() < 0.5 else cases.words(rng.randint(0, 40), 12) for _ in range(4)]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<p>{t}</p>" for t in [*said, said[0] + " " + said[1]])))
+    tokens = {i: html.replace("<p>", " ").replace("</p>", " ").split() for i, _, html in rows}
+    on = {}
+    for i, t in tokens.items():
+        for j in range(len(t) - 7):
+            on.setdefault((i % 3, *t[j : j + 8]), set()).add(i)
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string").repartition(3)
+    for got in (html_text.main_text(pages), html_text.main_text(pages, hot=5)):
+        for r in got.collect():
+            t = tokens[r.page_id]
+            covered = {k for j in range(len(t) - 7) if len(on[(r.page_id % 3, *t[j : j + 8])]) > 1 for k in range(j, j + 8)}
+            assert (r.n_repeated, r.text.split()) == (len(covered), [w for k, w in enumerate(t) if k not in covered])
+
+
+def test_the_comparison_of_pages_moves_little(spark):
+    """Pages, keys and segments of a host that repeats a third of its text together stay below what the pages take (before: 3 times as much)."""
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{cases.words(i, 200)}</p><p>{cases.words(-1 - i % 40, 100)}</p></main>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    parsed = pages.selectExpr("page_id", "page_id page_hash", "url", "html").mapInArrow(html_text._parse, html_text.PARSED)
+    keys = parsed.mapInArrow(html_text._keys(8, 4), html_text.KEYS)
+    moved = [parsed, keys, html_text._packed_segments(parsed, 8, 1024)]
+    sizes = [df.select(F.sum(sum(F.length(c) for c, kind in df.dtypes if kind == "binary"))).first()[0] for df in moved]
+    assert sum(sizes) < sum(len(r[2]) for r in rows)
+    assert moved[2].count() <= 4 and all(r.n_repeated >= 100 for r in html_text.main_text(pages).collect())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=3, max_size=20), min_size=1, max_size=6))
 def test_repeated_windows_are_those_on_distinct_pages(segments):

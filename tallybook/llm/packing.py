@@ -20,10 +20,11 @@ by best fit decreasing, a length class at a time:
   holds a piece's rank gives its sequence and offset.  Ranks come from counts per
   (length, salt), so a length held by a third of all pieces is numbered by many tasks.
 
-Texts are split at single spaces between characters that are no white space, where
-the byte-level pre-tokenizer always splits as well; no token goes across.  The
-tokenizer encodes each different part, and what it gave short ones is remembered.
-A part that is one word of Latin letters is given to its model as its pre-tokenizer writes it.
+Texts are split at single spaces between characters that are no white space, between ASCII letters
+and signs (but apostrophes) and around single line ends, where the byte-level pre-tokenizer always
+splits as well; no token goes across.  The different parts of many texts are found together, and
+what the tokenizer gave short ones is remembered.  Words of Latin letters and runs of signs are given
+to its model as its pre-tokenizer writes them.  A text that holds one of its added tokens is not split.
 
 Defined results: a null text is empty, so its document is the end id alone; a
 null ``doc_id`` stays null; repeated rows are packed as separate documents.
@@ -52,14 +53,23 @@ from .common import broadcast, stored
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "length long, first_rank long, n long, sequence long, per long, first_offset long"
 SALTS = 64
-#: Characters encoded at once; an encoding of the library holds some 100 bytes a token.
-SLICE_CHARS = 1 << 20
-#: Longest part of a text whose ids a worker remembers, and how many it remembers in each of two generations.
+#: Characters whose parts are looked up at once.
+SLICE_CHARS = 1 << 24
+#: Longest part (bytes) of a text whose ids a worker remembers, and how many it remembers in each of two generations.
 SHORT, REMEMBERED = 40, 400_000
 #: White space of Python holds all that the pre-tokenizer knows, and more.
-#: A word that the pre-tokenizer leaves whole behind a space (letters of Latin scripts), and a sign that it cuts off.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([.,;:!?]?)")
+#: What the pre-tokenizer leaves whole: letters of Latin scripts, signs (an apostrophe may go with letters).
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]*)([!-&(-/:-@\[-`{-~]*)")
 SPLIT, BESIDE = re.compile(r" (?<=\S )(?=\S)"), re.compile(r" (?:\s|(?<=\s ))")
+#: Bytes of no UTF-8 text; they stand before each part, which has a space before it or has none.
+SPACED, JOINED = b"\xff", b"\xfe"
+#: Kinds of bytes: visible ASCII, of it letters and signs; line ends.
+LETTER, SIGN, VISIBLE, LINE = 1, 2, 4, 8
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = VISIBLE | SIGN
+KINDS[[*b"0123456789'"]] = VISIBLE
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = VISIBLE | LETTER
+KINDS[0x0A] = LINE
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -74,9 +84,33 @@ def cut(ids: Sequence[int], capacity: int) -> list[tuple[int, int, int, int]]:
     return [(i, a, b - a, _crc(whole[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
-def parts(text: str) -> list[str]:
-    """The text cut at spaces, which are left out, so that no token goes across: single ones with no other white space beside."""
-    return SPLIT.split(text) if BESIDE.search(text) else text.split(" ")
+def parts(text: str) -> tuple[str, bytes]:
+    """The text cut at spaces, which are left out, so that no token goes across: single ones with no other white space beside.
+    The first part, and the others with ``SPACED`` before each."""
+    if BESIDE.search(text):
+        first, *others = SPLIT.split(text)
+        return first, b"".join([SPACED + part.encode() for part in others])
+    first, space, others = text.partition(" ")
+    return first, SPACED + others.encode().replace(b" ", SPACED) if space else b""
+
+
+def cut_further(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts cut between letters and signs and around line ends between visible characters, with ``JOINED`` before each; where they were cut."""
+    kinds = KINDS[data]
+    if len(kinds) < 3:
+        return data, np.zeros(0, np.int64)
+    cut = np.zeros(len(kinds), bool)
+    cut[1:] = (kinds[:-1] & LETTER > 0) & (kinds[1:] & SIGN > 0)
+    lines = np.flatnonzero(kinds[1:-1] == LINE) + 1
+    lines = lines[(kinds[lines - 1] & kinds[lines + 1] & VISIBLE) > 0]
+    cut[lines] = cut[lines + 1] = True
+    at = np.flatnonzero(cut)
+    return np.insert(data, at, JOINED[0]), at
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``count`` of them, one run behind the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class Encoder:
@@ -88,9 +122,9 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         self.vocabulary = vocabulary
-        self._tokenizer = self._model = self._signs = None
-        self._memo: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
+        self._tokenizer = self._model = self._signs = self._added = None
+        self._memo: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _library(self):
         if self._tokenizer is None:
@@ -99,51 +133,90 @@ class Encoder:
 
             self._tokenizer = Tokenizer.from_str(self.vocabulary)
             self._model = self._tokenizer.model
+            self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
             # how the byte-level pre-tokenizer writes each byte that these words hold
             byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            letters = [chr(c) for c in range(0x20, 0x2B0)]
+            letters = ["\n", *(chr(c) for c in range(0x20, 0x2B0))]
             self._signs = {c: byte_level.pre_tokenize_str(c)[0][0] for c in letters}
         return self._tokenizer
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library().encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 1000):  # an encoding of the library holds some 100 bytes a token
+            out += [np.array(e.ids, "<u4").tobytes() for e in self._library().encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)]
+        return out
 
-    def _after_space(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of each part with a space before it; a word goes to the model straight away, as pre-tokenized."""
-        self._library()
-        out, others, tokenize, signs = {}, [], self._model.tokenize, self._signs
+    def _encoded(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each part; words and signs go to the model straight away, as pre-tokenized."""
+        written, of_written, match = self._signs, self._of_written, WORD.fullmatch
+        out, rest, spaced = [], [], SPACED[0]
+        signs: dict[str, bytes] = {"": b""}
+        line = of_written(written["\n"])
         for part in new:
-            match = WORD.fullmatch(part)
-            if match:
-                word, sign = match.groups()
-                written = signs[" "] + (word if word.isascii() else "".join([signs[c] for c in word]))
-                ids = [t.id for t in tokenize(written)]
-                if sign:
-                    ids += [t.id for t in tokenize(sign)]
-                out[part] = struct.pack(f"<{len(ids)}I", *ids)
+            text = part[1:].decode()
+            space = written[" "] if part[0] == spaced else ""
+            found = match(text)
+            if found and text:
+                word, after = found.groups()
+                if word:
+                    ids = of_written(space + (word if word.isascii() else "".join([written[c] for c in word])))
+                    if after:
+                        if after not in signs:
+                            signs[after] = of_written(after)
+                        ids += signs[after]
+                    out.append(ids)
+                else:
+                    out.append(of_written(space + after))
+            elif text == "\n" and not space:
+                out.append(line)
             else:
-                others.append(part)
-        out.update(zip(others, self._ids([" " + part for part in others])))
+                rest.append(len(out))
+                out.append(f" {text}" if space else text)
+        for i, ids in zip(rest, self._ids([out[i] for i in rest])):
+            out[i] = ids
         return out
 
+    def _of_written(self, written: str) -> bytes:
+        """The model's ids of what the pre-tokenizer leaves whole."""
+        ids = [t.id for t in self._model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        split = [parts(t) for t in texts]
-        firsts = self._ids([text.pop(0) for text in split])
+        self._library()
+        split = [(t, b"") if any(token in t for token in self._added) else parts(t) for t in texts]
+        firsts = self._ids([first for first, _ in split])
+        data, further = cut_further(np.frombuffer(b"".join([others for _, others in split]), np.uint8))
+        begins = np.flatnonzero(data >= JOINED[0])
+        offsets = pa.py_buffer(np.append(begins, len(data)))
+        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        of_text = np.cumsum([0, *(len(others) for _, others in split)])
+        bounds = np.searchsorted(begins, of_text + np.searchsorted(further, of_text)).tolist()
+        known = self._known(each.dictionary.to_pylist())
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at, which = np.cumsum(sizes) - sizes, each.indices.to_numpy()
+        out = []
+        for first, a, b in zip(firsts, bounds, bounds[1:]):
+            of = which[a:b]
+            out.append(first + ids[spread(at[of], sizes[of])].tobytes())
+        return out
+
+    def _known(self, different: list[bytes]) -> list[bytes]:
+        """The ids of each part, from memory or the tokenizer."""
         if len(self._memo) >= REMEMBERED:
             self._memo, self._older = {}, self._memo
-        memo, new = self._memo, []
-        for part in set().union(*split).difference(memo):
-            ids = self._older.get(part)
-            if ids is None:
-                new.append(part)
+        out = list(map(self._memo.get, different))
+        new = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = self._older.get(different[i])
+            if out[i] is None:
+                new.append(i)
             else:
-                memo[part] = ids
-        memo.update(self._after_space(new))
-        out = [b"".join([first, *map(memo.__getitem__, after)]) for first, after in zip(firsts, split)]
-        for part in new:
-            if len(part) > SHORT:
-                del memo[part]
+                self._memo[different[i]] = out[i]
+        for i, ids in zip(new, self._encoded([different[i] for i in new])):
+            out[i] = ids
+            if len(different[i]) <= SHORT:
+                self._memo[different[i]] = ids
         return out
 
 

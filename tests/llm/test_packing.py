@@ -118,3 +118,18 @@ def test_parts_are_encoded_as_whole_texts():
         got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)]
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert max(map(len, encoder._memo)) <= packing.SHORT
+
+
+def test_words_are_encoded_once_whatever_signs_follow():
+    """Parts end before signs and around line ends (before: a word with each sign and next line was a part of its own)."""
+    words, signs = [f"w{'abcdefghij'[i % 10]}{'klmno'[i // 10]}" for i in range(50)], [",", ".", ";", ":", "!", "?", ")", "...", "###", "\n", ".\n"]
+    rng = np.random.default_rng(4)
+    lines = ["Start " + " ".join(w + s + (w if s[-1] == "\n" else "") for w in words for s in signs)]
+    odd = [*"  \n\nab'1.,\t\r\x1c#(-)é世", " ", "'s", "don't", "<|endoftext|>", "<|", "²"]
+    texts = [*lines, "", "\n", "a.\nb", "a.\n", "a.\n b", "a<|endoftext|> b, c.", *("".join(rng.choice(odd, rng.integers(0, 40))) for _ in range(3000))]
+    tok = Tokenizer.from_file(VOCAB)
+    with open(VOCAB, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    encoder.encode(lines)
+    assert len(encoder._memo) <= 2 * len(words) + len(signs)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

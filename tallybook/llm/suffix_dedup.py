@@ -11,17 +11,21 @@ anchors.  Consecutive windows with one anchor form a segment.
    its segment is left out.  Anchors repeated in a batch send one row to the count.
 2. The remaining segments are cut out of the texts.  Of equal segments in a batch one
    goes on; the others repeat it whole.
-   An anchor of more than ``HOT`` segments would fill a task: its segments go on window by
-   window, dealt by a hash of the whole window, and equal windows are compared as they are.
+   An anchor of more than ``HOT`` segments (up to four times as many, if that is at most 1/32 of what a task gets)
+   would fill a task: its segments go on window by window, dealt by a hash of the whole window, and equal windows are compared as they are.
    The hot anchors are known by ``HOT_BITS`` bits, so others may go with them; as all windows
    of an anchor go the same way, the result does not depend on it.
-3. Segments of the other anchors meet by anchor in a task, in blocks of about ``BLOCK`` bytes.  A block's
+3. Segments of the other anchors meet by anchor in a task, in order, in blocks of about ``BLOCK`` bytes.  A block's
    suffixes are sorted by at least ``length`` symbols, and from the Burrows-Wheeler
    transform the common prefixes of neighbours are derived by breadth-first backward
    extension: intervals of strings of l + 1 bytes end where the common prefix is l.  It
    stops at ``length``: neighbours without a value share ``length`` bytes or more.
    In each such class all but the earliest window are removed.
 
+Tasks hold a portion of their rows: ``PORTION`` bytes of texts when marking, ``HELD`` bytes of different segments when
+cutting, the rows of an anchor when counting and a block when comparing.  Spark sorts for the last two and can spill.
+From the count on there are as many tasks as give each about ``TASK`` segments, if the session has fewer.
+
 Defined results: a null or empty text, or one shorter than ``length``, loses nothing.  A
 null ``doc_id`` comes after all others.  Rows that repeat a doc_id with another text are
 ordered by a hash of the text (of 32 bits); full repeats are one document and keep what it keeps.
@@ -35,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +53,11 @@ LONGEST_RUN = 1024
 LAST_ID = (1 << 63) - 1
 HOT = 1024
 HOT_BITS = 18
+PORTION = 1 << 25
+HELD = 3 << 23
+ROWS = 1 << 14
+RUN_BYTES = 64
+TASK = 1 << 17
 
 COUNT_BITS = 12
 MARKS = "anchor long, salt int, weight int, id long, text_hash int, place long"
@@ -124,9 +134,19 @@ def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in portions of about ``PORTION`` bytes of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (np.cumsum(sizes) - sizes) // PORTION
+        edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
 def _mark(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
             anchor, owner, start, count, twice, whole = segments_of(texts, length)
             _, first, back, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
@@ -142,19 +162,31 @@ def _mark(length: int):
     return run
 
 
-def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches = list(batches)
-    if not batches:
-        return
+def _flagged(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     held = pa.Table.from_batches(batches)
-    column = {c: held[c].to_numpy() for c in held.column_names }
+    column = {c: held[c].to_numpy() for c in held.column_names}
     repeated = column["weight"] & 1 > 0
     lead = column["salt"] == 0
     _, back, times = np.unique(column["anchor"][lead], return_inverse=True, return_counts=True)
     repeated[lead] |= times[back] > 1
     column["kinds"] = np.zeros(held.num_rows, np.int64)  # segments of the anchor, equal ones of a batch counted once
     column["kinds"][lead] = np.bincount(back, column["weight"][lead] >> 1)[back]
-    yield _batch(FLAGGED, [column[c.split()[0]][repeated] for c in FLAGGED.split(", ")])
+    return _batch(FLAGGED, [column[c.split()[0]][repeated] for c in FLAGGED.split(", ")])
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of anchor; those of the last one are held until it ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            anchor = batch.column("anchor").to_numpy()
+            if not held or held[-1].column("anchor")[0].as_py() != anchor[-1]:
+                last = int(np.searchsorted(anchor, anchor[-1]))
+                yield _flagged([*held, batch.slice(0, last)])
+                held, batch = [], batch.slice(last)
+            held.append(batch)
+    if held:
+        yield _flagged(held)
 
 
 class _Distinct:
@@ -164,13 +196,17 @@ class _Distinct:
         self.first: dict[bytes, tuple] = {}
         self.runs: list[tuple] = []
 
-    def add(self, segment: bytes, place: tuple) -> None:
-        """place: (id, text_hash, start, count, anchor)"""
+    def add(self, segment: bytes, place: tuple) -> int:
+        """place: (id, text_hash, start, count, anchor).  The bytes that are held more."""
         known = self.first.get(segment)
         if known is None or place < known:
             self.first[segment] = place
-        if known is not None and known[:3] != place[:3]:
-            self.runs.append(max(known, place))
+        if known is None:
+            return len(segment)
+        if known[:3] == place[:3]:
+            return 0
+        self.runs.append(max(known, place))
+        return RUN_BYTES
 
 
 def _joined(runs: list[tuple]) -> list[tuple]:
@@ -185,28 +221,63 @@ def _joined(runs: list[tuple]) -> list[tuple]:
     return out
 
 
+def _rows_of(runs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Runs as rows without a segment: what needs no comparison any more is spread by its place."""
+    if runs:
+        yield _batch(SEGMENTS, list(zip(*((hash(r[:3]), *r, None) for r in _joined(runs)), strict=True)))
+
+
+def _windows(hot: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """The windows of (anchor, id, text_hash, start, count, segment) one by one, in order of anchor, which equal windows share."""
+    windows = _Distinct()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        # a count of 0 tells a window of a hot anchor
+        lead = [(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64), *p[:3], 0, w) for w, p in windows.first.items()]
+        if lead:
+            yield _batch(SEGMENTS, list(zip(*lead, strict=True)))
+        yield from _rows_of(windows.runs)
+        windows.__init__()
+
+    for _, doc, text_hash, start, count, segment in sorted(hot, key=lambda row: row[0]):
+        for i in range(count):
+            windows.add(segment[i : i + length], (doc, text_hash, start + i, 1))
+        if len(windows.first) + len(windows.runs) >= ROWS:
+            yield from rows()
+    yield from rows()
+
+
 def _cut(length: int):
+    def given(distinct: _Distinct, hot: set[int]) -> Iterator[pa.RecordBatch]:
+        lead, spread = [], []
+        for segment, place in distinct.first.items():
+            if place[4] in hot:
+                spread.append((place[4], *place[:4], segment))
+                continue
+            lead.append((place[4], *place[:4], segment))
+            if len(lead) >= ROWS:
+                yield _batch(SEGMENTS, list(zip(*lead, strict=True)))
+                lead = []
+        if lead:
+            yield _batch(SEGMENTS, list(zip(*lead, strict=True)))
+        yield from _rows_of([p[:4] for p in distinct.runs])
+        yield from _windows(spread, length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distinct, hot, windows = _Distinct(), _Distinct(), _Distinct()
+            distinct, held, hot = _Distinct(), 0, set()
             rows = (batch.column("text").cast(pa.binary()), batch.column("found"), batch.column("id").to_pylist(), batch.column("text_hash").to_pylist())
             for text, places, doc, text_hash in zip(*rows, strict=True):
                 data = text.as_py()
                 anchor, place, spread = (places.values.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "place", "hot"))
                 starts, counts = place >> COUNT_BITS, place & (1 << COUNT_BITS) - 1
-                for start, count, key, by_window in zip(starts.tolist(), counts.tolist(), anchor.tolist(), spread.tolist(), strict=True):
-                    to = hot if by_window else distinct
-                    to.add(data[start : start + count + length - 1], (doc, text_hash, start, count, key))
-            for segment, (doc, text_hash, start, count, _) in hot.first.items():
-                for i in range(count):
-                    windows.add(segment[i : i + length], (doc, text_hash, start + i, 1))
-            lead = [(p[4], *p[:4], s) for s, p in distinct.first.items()]
-            # a count of 0 tells a window of a hot anchor
-            lead += [(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64), *p[:3], 0, w) for w, p in windows.first.items()]
-            # what needs no comparison any more is spread by its place
-            rest = [(hash(p[:3]), *p, None) for p in _joined([p[:4] for d in (distinct, hot, windows) for p in d.runs])]
-            if lead or rest:
-                yield _batch(SEGMENTS, list(zip(*lead, *rest, strict=True)))
+                hot.update(anchor[spread].tolist())
+                for start, count, key in zip(starts.tolist(), counts.tolist(), anchor.tolist(), strict=True):
+                    held += distinct.add(data[start : start + count + length - 1], (doc, text_hash, start, count, key))
+                    if held >= HELD:
+                        yield from given(distinct, hot)
+                        distinct, held = _Distinct(), 0
+            yield from given(distinct, hot)
 
     return run
 
@@ -317,38 +388,50 @@ def repeats_in_block(segments: list[bytes], ranks: np.ndarray, starts: np.ndarra
     return [late[b : b + size] for b, size in zip(begins, sizes, strict=True)]
 
 
+def _late_runs(first: dict[bytes, tuple], length: int) -> list[tuple]:
+    """Runs (id, text_hash, start, count) of the windows of a block's segments that also start earlier."""
+    documents = {d: i for i, d in enumerate(sorted({p[:2] for p in first.values()}))}
+    places = list(first.values())
+    ranks = np.array([documents[p[:2]] for p in places])
+    starts = np.array([p[2] for p in places])
+    late, begins, _ = _late_in_block(list(first), ranks, starts, length)
+    # a segment ends with a place that is not late, so no run goes across
+    edges = np.flatnonzero(np.diff(late, prepend=False, append=False)).reshape(-1, 2)
+    owner = np.searchsorted(begins, edges[:, 0], side="right") - 1
+    start = starts[owner] + edges[:, 0] - begins[owner]
+    return [(*places[i][:2], a, n) for i, a, n in zip(owner.tolist(), start.tolist(), (edges[:, 1] - edges[:, 0]).tolist(), strict=True)]
+
+
 def _compare(length: int):
+    """Rows come in order of anchor, so that a block can end where an anchor ends."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct, windows = _Distinct(), _Distinct()
+        distinct, windows, held, last = _Distinct(), _Distinct(), 0, None
+        found: list[tuple] = []
+
+        def settle() -> None:
+            nonlocal distinct, windows, held
+            found.extend(p[:4] for d in (distinct, windows) for p in d.runs)
+            if distinct.first:
+                found.extend(_late_runs(distinct.first, length))
+            distinct, windows, held = _Distinct(), _Distinct(), 0
+
         for batch in batches:
             direct = batch.column("segment").is_null()
             yield batch.filter(direct).select([c.split()[0] for c in RUNS.split(", ")])
-            rest = batch.filter(pa.compute.invert(direct)).to_pydict()
+            rest = batch.filter(pc.invert(direct)).to_pydict()
             for anchor, doc, text_hash, start, count, segment in zip(*(rest[c.split()[0]] for c in SEGMENTS.split(", ")), strict=True):
+                if held >= BLOCK and anchor != last:
+                    settle()
+                    if len(found) >= ROWS:
+                        yield _batch(RUNS, list(zip(*_joined(found), strict=True)))
+                        found.clear()
+                last = anchor
                 if count:
-                    distinct.add(segment, (doc, text_hash, start, count, anchor))
+                    held += distinct.add(segment, (doc, text_hash, start, count, anchor))
                 else:
-                    windows.add(segment, (doc, text_hash, start, 1))
-            del rest
-        found = [p[:4] for d in (distinct, windows) for p in d.runs]
-        documents = {d: i for i, d in enumerate(sorted({p[:2] for p in distinct.first.values()}))}
-        rows = sorted(distinct.first.items(), key=lambda item: item[1][4])
-        block: list[tuple[bytes, tuple]] = []
-        held = 0
-        for i, (segment, place) in enumerate(rows):
-            block.append((segment, place))
-            held += len(segment)
-            last = i + 1 == len(rows)
-            if last or held >= BLOCK and rows[i + 1][1][4] != place[4]:
-                ranks = np.array([documents[p[:2]] for _, p in block])
-                starts = np.array([p[2] for _, p in block])
-                late, begins, _ = _late_in_block([s for s, _ in block], ranks, starts, length)
-                # a segment ends with a place that is not late, so no run goes across
-                edges = np.flatnonzero(np.diff(late, prepend=False, append=False)).reshape(-1, 2)
-                owner = np.searchsorted(begins, edges[:, 0], side="right") - 1
-                first = starts[owner] + edges[:, 0] - begins[owner]
-                found += ((*block[i][1][:2], a, n) for i, a, n in zip(owner.tolist(), first.tolist(), (edges[:, 1] - edges[:, 0]).tolist()))
-                block, held = [], 0
+                    held += windows.add(segment, (doc, text_hash, start, 1))
+        settle()
         if found:
             yield _batch(RUNS, list(zip(*_joined(found), strict=True)))
 
@@ -390,22 +473,49 @@ def _rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def pieces(rows: DataFrame, length: int, hot: int) -> DataFrame:
-    """What has to be compared, by ``anchor``: segments, windows of anchors with more than ``hot`` segments, known runs."""
-    marks = rows.drop("doc_id").mapInArrow(_mark(length), MARKS).repartition("anchor", "salt")
-    flagged = stored(marks.mapInArrow(_flag, FLAGGED), "suffix-flagged")
+def _repeated(rows: DataFrame, length: int) -> DataFrame:
+    """The marks of all segments whose anchor occurs more than once."""
+    marks = rows.drop("doc_id").mapInArrow(_mark(length), MARKS).repartition("anchor", "salt").sortWithinPartitions("anchor")
+    return stored(marks.mapInArrow(_flag, FLAGGED), "suffix-flagged")
+
+
+def _tasks(flagged: DataFrame) -> tuple[int, int]:
+    """How many tasks share the segments, so that each gets about ``TASK`` at most; how many segments each gets."""
+    count = flagged.count()
+    tasks = max(int(flagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK))
+    return tasks, count // tasks
+
+
+def _by_text(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartition(tasks, "id", "text_hash")
+
+
+def _pieces(texts: DataFrame, flagged: DataFrame, length: int, hot: int) -> DataFrame:
+    """``texts``: dealt by ``_by_text``."""
+    tasks, each = _tasks(flagged)
+    hot = max(hot, min(4 * hot, each // 32))
     bucket = F.col("anchor").bitwiseAND((1 << HOT_BITS) - 1).cast("int")
     buckets = flagged.where(F.col("kinds") > hot).select(bucket.alias("bucket")).distinct()  # at most 2 ** HOT_BITS rows
     flagged = flagged.join(F.broadcast(buckets), bucket == F.col("bucket"), "left")
     place = F.struct("anchor", "place", F.col("bucket").isNotNull().alias("hot"))
-    per_text = flagged.groupBy("id", "text_hash").agg(F.collect_set(place).alias("found"))
-    return rows.join(per_text, ["id", "text_hash"]).mapInArrow(_cut(length), SEGMENTS)
+    per_text = _by_text(flagged.select("id", "text_hash", place.alias("place")), tasks)
+    per_text = per_text.groupBy("id", "text_hash").agg(F.collect_set("place").alias("found"))
+    return texts.join(per_text, ["id", "text_hash"]).mapInArrow(_cut(length), SEGMENTS)
+
+
+def pieces(rows: DataFrame, length: int, hot: int) -> DataFrame:
+    """What has to be compared, by ``anchor``: segments, windows of anchors with more than ``hot`` segments, known runs."""
+    flagged = _repeated(rows, length)
+    return _pieces(_by_text(rows, _tasks(flagged)[0]), flagged, length, hot)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of every row."""
     # one shuffle of the texts serves both joins, so both take all of its columns
     rows = _rows(docs)
-    runs = pieces(rows, length, hot).repartition("anchor").mapInArrow(_compare(length), RUNS)
-    runs = runs.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
-    return rows.join(runs, ["id", "text_hash"], "left").mapInArrow(_finish(length, with_text), RESULT)
+    flagged = _repeated(rows, length)
+    tasks, _ = _tasks(flagged)
+    texts = _by_text(rows, tasks)
+    runs = _pieces(texts, flagged, length, hot).repartition(tasks, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), RUNS)
+    runs = _by_text(runs, tasks).groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "count")).alias("runs"))
+    return texts.join(runs, ["id", "text_hash"], "left").mapInArrow(_finish(length, with_text), RESULT)

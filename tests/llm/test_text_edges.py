@@ -3,6 +3,7 @@
 import functools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import brute_text
@@ -10,6 +11,7 @@ import cases
 import hypothesis.strategies as st
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -187,6 +189,63 @@ def test_a_common_line_with_other_neighbours_is_spread(spark, docs):
     assert of(suffix_dedup.remove_repeats(docs, hot=0)) == of(suffix_dedup.remove_repeats(docs))
 
 
+def segment_rows(n, count):
+    """Segments that differ, in order of anchor, in batches of 500; every fifth anchor has two, which share their first windows."""
+    rng = np.random.default_rng(5)
+    texts = rng.integers(97, 123, (n, 150), dtype=np.uint8)
+    texts[5::5, :120] = texts[4:-1:5, :120]
+    anchor = np.arange(n) - (np.arange(n) % 5 == 0) * (np.arange(n) > 0)
+    for i in range(0, n, 500):
+        part = range(i, i + 500)
+        columns = [anchor[part], part, [7] * len(part), [0] * len(part), [count] * len(part), [texts[k].tobytes()[: count + 99 if count else 100] for k in part]]
+        yield suffix_dedup._batch(suffix_dedup.SEGMENTS, columns)
+
+
+def held_at_most(task, batches):
+    """MB that a task holds at most beside Arrow's while its output is used up, and the rows of that."""
+    batches = list(batches)
+    tracemalloc.start()
+    try:
+        rows = sum(batch.num_rows for batch in task(iter(batches)))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_tasks_hold_a_portion_of_their_rows():
+    """Many times the rows of a task don't take several times the memory."""
+    compare = [held_at_most(suffix_dedup._compare(100), segment_rows(n, 51)) for n in (3000, 60_000)]
+    assert [rows for _, rows in compare] == [599, 11_999]
+    assert compare[1][0] < 2 * compare[0][0]
+
+    names = [c.split()[0] for c in suffix_dedup.MARKS.split(", ")]
+
+    def marks(n):
+        for i in range(0, n, 2000):
+            each = np.arange(i, i + 2000)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((each // 2, each * 0, each * 0 + 2, each, each * 0, each), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names)
+
+    flag = [held_at_most(suffix_dedup._flag, marks(n)) for n in (20_000, 200_000)]
+    assert [rows for _, rows in flag] == [20_000, 200_000]
+    assert flag[1][0] < 2 * flag[0][0]
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_suffix_segments_are_cut_in_portions(spread, monkeypatch):
+    """A batch of many segments is given back in portions; windows of hot anchors too."""
+    monkeypatch.setattr(suffix_dedup, "HELD", 1 << 18, raising=False)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 1 << 11, raising=False)
+    text = np.random.default_rng(1).integers(97, 123, 40 * 10_000, dtype=np.uint8).tobytes().decode()
+    texts = [text[i : i + 40_000] for i in range(0, len(text), 40_000)]
+    found = [[{"anchor": 1000 * d + s, "place": s << suffix_dedup.COUNT_BITS | 40, "hot": spread} for s in range(0, 39_000, 40)] for d in range(len(texts))]
+    kind = pa.list_(pa.struct([("anchor", pa.int64()), ("place", pa.int64()), ("hot", pa.bool_())]))
+    columns = [pa.array(texts), pa.array(found, kind), pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32())]
+    batch = pa.RecordBatch.from_arrays(columns, ["text", "found", "id", "text_hash"])
+    given = list(suffix_dedup._cut(100)(iter([batch])))
+    assert max(b.num_rows for b in given) <= (1 << 11) + 40
+    assert sum(b.num_rows for b in given) == 975 * len(texts) * (40 if spread else 1)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab", min_size=3, max_size=40), min_size=1, max_size=8), st.integers(3, 9))
 def test_intervals_find_all_late_windows(texts, length):
